@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, htmltext, licences, mixing, packing, quality
+from . import fingerprints, htmltext, jaccard, licences, lines, mixing, packing, quality
 from .common import read
 
 
@@ -17,10 +17,23 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its lines, how many go, and what stays as a digest."""
+    kept = lines.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select(
+        "doc_id", "n_lines", "n_removed", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_kept_chars"),
+        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(read(spark, sf_dir, "documents"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.neighbours(read(spark, sf_dir, "documents"))
 
@@ -40,7 +53,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_quality_classifier, op4_packing, op6_fingerprints, op7_html_extraction, op8_licence_scan, op9_mixing)
+    for f in (op2_quality_classifier, op3_line_dedup, op4_packing, op5_jaccard_join, op6_fingerprints, op7_html_extraction, op8_licence_scan, op9_mixing)
 }
 
 ORACLES: dict[str, str] = {"op8_licence_scan": licences.oracle_sql()}
