@@ -135,6 +135,30 @@ def column_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
+def small(batches, column: str = "text", most: int = 2 << 20):
+    """Batches cut so that a text column has about ``most`` bytes in each, or one row."""
+    import pyarrow.compute as pc
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        at = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).cumsum()
+        a = 0
+        while a < b.num_rows:
+            z = max(a + 1, int(np.searchsorted(at, (at[a - 1] if a else 0) + most, side="right")))
+            yield b.slice(a, z - a)
+            a = z
+
+
+def prefix_hash(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(s, inverse powers): (s[z] - s[a]) * inverse[a] is a hash of raw[a:z] wherever it stands."""
+    value = _BYTE[raw]
+    value *= _powers(_BASE, len(raw))
+    s = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(value, out=s[1:])
+    return s, _powers(_INV, len(raw))
+
+
 def word_hashes(raw: np.ndarray, at: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of texts lying one behind another.
 

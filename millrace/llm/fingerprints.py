@@ -78,7 +78,7 @@ def fingerprint(docs: DataFrame, k: int = K) -> DataFrame:
     import pyarrow as pa
 
     def run(batches):
-        for b in batches:
+        for b in common.small(batches):
             found = sketches(b.column("text"), k)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": b.column("doc_id"), "fingerprint": pa.array(map(encode, found), pa.string()),
@@ -141,7 +141,7 @@ def neighbours(docs: DataFrame, k: int = K) -> DataFrame:
         import pyarrow as pa
 
         held = None  # (doc_id, text, sketch) that waits for the next document
-        for b in batches:
+        for b in common.small(batches):
             ids, texts, marks = (b.column(c).to_pylist() for c in ("doc_id", "text", "mark"))
             found = sketches(b.column("text"), k)
             rows, edits, nexts = [], [], []

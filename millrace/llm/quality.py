@@ -119,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in common.small(batches):
             x = terms(b.column("text")).astype(np.float16)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": b.column("doc_id"), "quality": b.column("quality").cast(pa.int32()), "x": pa.array([r.tobytes() for r in x], pa.binary()),
@@ -140,7 +140,7 @@ def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) ->
     names = docs.columns
 
     def run(batches):
-        for b in batches:
+        for b in common.small(batches):
             m = shared.value
             s = m.score(terms(b.column("text"))) if m is not None else np.full(b.num_rows, 0.5)
             cols = [b.column(n) for n in names]

@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, htmltext, jaccard, licences, lines, mixing, packing, quality
+from . import fingerprints, htmltext, itq, jaccard, licences, lines, mixing, packing, quality, substrings
 from .common import read
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.dedup(read(spark, sf_dir, "documents"))
+    return kept.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, read(spark, sf_dir, "labels"))
@@ -51,9 +59,13 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.dedup(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_quality_classifier, op3_line_dedup, op4_packing, op5_jaccard_join, op6_fingerprints, op7_html_extraction, op8_licence_scan, op9_mixing)
+    for f in (op1_suffix_array_dedup, op2_quality_classifier, op3_line_dedup, op4_packing, op5_jaccard_join, op6_fingerprints, op7_html_extraction, op8_licence_scan, op9_mixing, op10_embedding_dedup)
 }
 
 ORACLES: dict[str, str] = {"op8_licence_scan": licences.oracle_sql()}
