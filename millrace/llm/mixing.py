@@ -168,7 +168,7 @@ def mix(
 
     taken_slots = runs.mapInPandas(fill, "shard int, k int, slot long, pass int, index long")
     pieces = common.materialize(
-        parts.join(taken_slots, ["k", "index"]).select("shard", "k", "slot", "pass", "doc_id", "row_key", "start", "words")
+        parts.join(taken_slots.hint("merge"), ["k", "index"]).select("shard", "k", "slot", "pass", "doc_id", "row_key", "start", "words")
     )
     taken = pieces.groupBy("k", "row_key").agg(F.sum("words").alias("taken"))
     whole = placed.join(taken.withColumn("some", F.lit(True)), ["k", "row_key"], "left")
