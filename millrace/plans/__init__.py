@@ -1,0 +1 @@
+"""Plans given as text, statements, EXPLAIN and statistics."""

@@ -27,12 +27,16 @@ def query(key: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def all_queries() -> dict[str, Query]:
-    from . import plans  # noqa: F401  its modules register their queries
-
+    _load()
     return _QUERIES
 
 
 def all_oracles() -> dict[str, str]:
-    from . import plans  # noqa: F401
-
+    _load()
     return _ORACLES
+
+
+def _load() -> None:
+    """Importing a module registers its queries."""
+    from .operators import aggregates, basics, joins, ordering  # noqa: F401
+    from .plans import texts, tools  # noqa: F401
