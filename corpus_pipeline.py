@@ -7,9 +7,8 @@ as Parquet and read again as the next stage's docs.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from millrace.llm import mixing, packing, quality
+from millrace.llm import jaccard, lines, mixing, packing, quality
 from millrace.llm.common import materialize, read
 
 
@@ -19,6 +18,24 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.score(docs, model).where("predicted = 1").select(docs.columns)
 
 
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that repeat an earlier one; none goes, though its text may become empty."""
+    return lines.dedup(docs).select(docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least id of each group of near copies; documents without words are no copies and stay."""
+    groups = jaccard.join(docs)
+    kept = groups.where("component_id IS NULL OR doc_id = component_id").select("doc_id").distinct()
+    out = docs.join(kept.hint("merge"), docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
+    # rows that share an id are one document of the group
+    return out.dropDuplicates(["doc_id"]) if _ids_repeat(docs) else out
+
+
+def _ids_repeat(docs: DataFrame) -> bool:
+    return bool(docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").limit(1).count())
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The words that the mix takes of each document; documents that it does not take go."""
     _, pieces = mixing.mix(docs)
@@ -32,6 +49,8 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [
     ("quality classifier", keep_quality),
+    ("line dedup", drop_repeated_lines),
+    ("n-gram Jaccard join", one_of_each_group),
     ("mixing sources", mix_sources),
     ("packing", pack_sequences),
 ]
