@@ -89,9 +89,9 @@ def candidates(lines: DataFrame, docs: DataFrame, min_words: int = MIN_WORDS) ->
     """(survivors with their words, pairs a, other, at of lines and an earlier witness that share a variant)."""
     halves = lines.where(F.col("n") >= min_words).select("a", F.explode(F.array_distinct(F.array("h1", "h2", "t1", "t2"))).alias("key"))
     near = with_company(halves, "key").select("a").distinct()
-    survivors = lines.join(near, "a").select("a", "b", "n", "first.did", "first.line_no")
+    survivors = common.materialize(lines.join(near, "a").select("a", "b", "n", "first.did", "first.line_no"))
     wanted = survivors.groupBy("did").agg(F.collect_list("line_no").alias("nos"))
-    texts = docs.select(_did().alias("did"), "text").join(wanted, "did").select(
+    texts = docs.select(_did().alias("did"), "text").join(wanted.hint("merge"), "did").select(
         "did",
         F.explode(once(_parts(), lambda p: F.transform("nos", lambda i: F.struct(i.alias("line_no"), F.get(p, i).alias("line"))))).alias("x"),
     )
@@ -154,7 +154,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     gone = common.materialize(gone.groupBy("did").agg(F.collect_set("line_no").alias("gone")))
     kept = once(_parts(), lambda p: F.array_join(F.transform(
         F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.coalesce("gone", F.array().cast("array<int>"))), lambda i: F.get(p, i)), "\n"))
-    out = docs.withColumn("did", _did()).join(gone, "did", "left")
+    out = docs.withColumn("did", _did()).join(gone.hint("merge"), "did", "left")
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)
     columns = [text.alias(c) if c == "text" else F.col(c) for c in docs.columns]
     out = out.select(*columns, F.size(_parts()).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
