@@ -15,12 +15,13 @@ from millrace.llm.common import materialize, read
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the threshold."""
     model = quality.fit(docs, read(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where("predicted = 1").select(docs.columns)
+    names = ("__quality_score", "__quality_predicted")
+    return quality.score(docs, model, names=names).where("__quality_predicted = 1").drop(*names)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that repeat an earlier one; none goes, though its text may become empty."""
-    return lines.dedup(docs).select(docs.columns)
+    return lines.rewritten(docs)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

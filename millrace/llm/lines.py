@@ -142,8 +142,8 @@ def verified(found: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.where(near).select("a", "b").distinct()
 
 
-def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The columns of ``docs`` with text (and n_chars) of the kept lines, n_lines and n_removed behind them."""
+def _rewritten(docs: DataFrame, min_words: int) -> DataFrame:
+    """row (the columns of ``docs`` with the kept text), n_lines and n_removed."""
     lines = common.materialize(distinct_lines(docs, min_words))
     found, pairs = candidates(lines, docs, min_words)
     near = common.materialize(verified(found, pairs).withColumn("near", F.lit(True)))
@@ -152,12 +152,33 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     every = _hashed(line_rows(docs)).select("did", "line_no", "a", "b")
     gone = every.join(hit, ["a", "b"]).where("near or did <> f_did or line_no <> f_no").select("did", "line_no")
     gone = common.materialize(gone.groupBy("did").agg(F.collect_set("line_no").alias("gone")))
+    # what the input calls its columns is kept apart, so that no name clashes
+    rows = docs.select(_did().alias("did"), "text", F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("row"))
+    rows = rows.join(gone.hint("merge"), "did", "left")
     kept = once(_parts(), lambda p: F.array_join(F.transform(
         F.array_except(F.sequence(F.lit(0), F.size(p) - 1), F.coalesce("gone", F.array().cast("array<int>"))), lambda i: F.get(p, i)), "\n"))
-    out = docs.withColumn("did", _did()).join(gone.hint("merge"), "did", "left")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)
-    columns = [text.alias(c) if c == "text" else F.col(c) for c in docs.columns]
-    out = out.select(*columns, F.size(_parts()).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out
+    rows = rows.select(
+        "row", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"), F.size(_parts()).cast("long").alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
+    )
+
+    def value(c: str) -> Column:
+        if c == "text":
+            return F.col("text")
+        old = F.col(f"row.`{c}`")
+        if c == "n_chars":
+            return F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema[c].dataType)).otherwise(old)
+        return old
+
+    return rows.select(F.struct(*[value(c).alias(c) for c in docs.columns]).alias("row"), "n_lines", "n_removed")
+
+
+def rewritten(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """The columns of ``docs``, text (and n_chars) of the kept lines."""
+    return _rewritten(docs, min_words).select("row.*")
+
+
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """As :func:`rewritten`, with n_lines and n_removed behind, which replace columns of those names."""
+    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return _rewritten(docs, min_words).select(*[F.col(f"row.`{c}`") for c in own], "n_lines", "n_removed")

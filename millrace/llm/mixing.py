@@ -183,7 +183,8 @@ def mixed_documents(docs: DataFrame, pieces: DataFrame) -> DataFrame:
     """The mix as documents with the columns of ``docs``, one row per document that is taken.
 
     The text holds the taken words, pass after pass, a line break between
-    passes; a pass that takes the whole document has its text as it was.
+    passes; a pass that takes the whole document has its text as it was.  Rows
+    that share a doc_id share what is taken for it.
     """
     import pyarrow as pa
 
@@ -192,8 +193,11 @@ def mixed_documents(docs: DataFrame, pieces: DataFrame) -> DataFrame:
         .agg(F.sort_array(F.collect_list(F.struct("start", "words"))).alias("spans"))
         .groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pass", "spans"))).alias("passes"))
     )
-    joined = docs.join(spans, "doc_id")
+    # columns go by number, so that no name of the input clashes
     names = docs.columns
+    key, body = f"c{names.index('doc_id')}", f"c{names.index('text')}"
+    joined = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    joined = joined.join(spans, F.col(key) == spans.doc_id).drop("doc_id")
 
     def cut(batches):
         import re
@@ -201,7 +205,7 @@ def mixed_documents(docs: DataFrame, pieces: DataFrame) -> DataFrame:
         word = re.compile(common.WORD_RE)
         for b in batches:
             texts = []
-            for text, passes in zip(b.column("text").to_pylist(), b.column("passes").to_pylist()):
+            for text, passes in zip(b.column(body).to_pylist(), b.column("passes").to_pylist()):
                 marks = None
                 got = []
                 for p in passes:
@@ -209,6 +213,8 @@ def mixed_documents(docs: DataFrame, pieces: DataFrame) -> DataFrame:
                         marks = [m.span() for m in word.finditer(text or "")]
                     runs = []
                     for s in p["spans"]:
+                        if s["start"] + s["words"] > len(marks):
+                            continue  # of another row with this id
                         if runs and runs[-1][1] == s["start"]:
                             runs[-1][1] += s["words"]
                         else:
@@ -218,10 +224,12 @@ def mixed_documents(docs: DataFrame, pieces: DataFrame) -> DataFrame:
                     else:
                         got += [text[marks[a][0] : marks[z - 1][1]] for a, z in runs]
                 texts.append("\n".join(got))
-            cols = {n: b.column(n) for n in names}
-            cols["text"] = pa.array(texts, pa.string())
-            if "n_chars" in cols:
-                cols["n_chars"] = pa.array([len(t) for t in texts], cols["n_chars"].type)
-            yield pa.RecordBatch.from_pydict(cols)
+            cols = [b.column(f"c{i}") for i in range(len(names))]
+            for i, name in enumerate(names):
+                if name == "text":
+                    cols[i] = pa.array(texts, pa.string())
+                elif name == "n_chars":
+                    cols[i] = pa.array([len(t) for t in texts], cols[i].type)
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return joined.mapInArrow(cut, docs.schema)

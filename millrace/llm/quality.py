@@ -132,21 +132,22 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     return Model(x, got.quality.to_numpy())
 
 
-def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
-    """The columns of ``docs`` with ``score`` and ``predicted`` behind them, in one map stage."""
+def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """The columns of ``docs`` with score and predicted behind them, which replace columns of those names, in one map stage."""
     import pyarrow as pa
 
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
+    own = [c for c in docs.columns if c not in names]
+    docs = docs.select(*[F.col(f"`{c}`") for c in own])
 
     def run(batches):
         for b in common.small(batches):
             m = shared.value
             s = m.score(terms(b.column("text"))) if m is not None else np.full(b.num_rows, 0.5)
-            cols = [b.column(n) for n in names]
+            cols = [b.column(n) for n in own]
             yield pa.RecordBatch.from_arrays(
-                [*cols, pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())], names=[*names, "score", "predicted"]
+                [*cols, pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())], names=[*own, *names]
             )
 
-    schema = docs.select("*", F.lit(0.0).cast("double").alias("score"), F.lit(0).cast("int").alias("predicted")).schema
+    schema = docs.select("*", F.lit(0.0).cast("double").alias(names[0]), F.lit(0).cast("int").alias(names[1])).schema
     return docs.mapInArrow(run, schema)
