@@ -39,7 +39,7 @@ from . import common
 
 WIDTH = 5
 NUM, DEN = 75, 100  # links: DEN * |A and B| >= NUM * |A or B|
-BUCKET_BYTES = 20 << 20
+BUCKET_BYTES = 12 << 20
 SALT_ROWS = 1000
 REST_ROWS = 2000
 LEAF = 64
@@ -50,6 +50,19 @@ def linked(inter, a, b):
     return DEN * inter >= NUM * (a + b - inter)
 
 
+def _packed(h: np.ndarray, doc: np.ndarray, m: int) -> bytes:
+    """Shingles in the order of their documents, which are given by how many each has."""
+    counts = np.bincount(doc, minlength=m).astype(np.uint32)
+    return np.array([len(h), m], np.int64).tobytes() + h.tobytes() + counts.tobytes()
+
+
+def _unpacked(body: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """(shingles, document of each, what follows)."""
+    n, m = np.frombuffer(body, np.int64, 2)
+    counts = np.frombuffer(body, np.uint32, m, 16 + 8 * n)
+    return np.frombuffer(body, np.uint64, n, 16), np.repeat(np.arange(m, dtype=np.uint32), counts), body[16 + 8 * n + 4 * m :]
+
+
 def _shingled(parts: int):
     """Map stage: packed shingles by hash bucket, and each chunk's documents."""
 
@@ -79,12 +92,12 @@ def _shingled(parts: int):
             for k in range(parts):
                 a, z = edges[k], edges[k + 1]
                 if z > a:
-                    rows.append((k, chunk, 1, np.array([z - a], np.int64).tobytes() + h[a:z].tobytes() + doc[a:z].astype(np.uint32).tobytes()))
+                    rows.append((k, chunk, 1, _packed(h[a:z], doc[a:z], len(docs))))
             ids, hashes, sizes, held = [], [], [], 0
             for r in rows:
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(r, schema.types)], schema=schema)
 
-        for b in batches:
+        for b in common.small(batches):
             h, at = common.shingle_hashes(*common.word_hashes(*common.column_bytes(b.column("text"))), WIDTH)
             ids.append(b.column("doc_id").cast(pa.int64()))
             hashes.append(h)
@@ -114,10 +127,10 @@ def _frequent(batches):
             if kind.as_py() == 0:
                 yield row(chunk.as_py(), 0, body)
                 continue
-            n = int(np.frombuffer(body, np.int64, 1)[0])
+            own, doc, _ = _unpacked(body)
             chunks.append(chunk.as_py())
-            hashes.append(np.frombuffer(body, np.uint64, n, 8))
-            docs.append(np.frombuffer(body, np.uint32, n, 8 + 8 * n))
+            hashes.append(own)
+            docs.append((doc, np.frombuffer(body, np.int64, 2)[1]))
     if not chunks:
         return
     h = np.concatenate(hashes)
@@ -129,13 +142,12 @@ def _frequent(batches):
     log[order] = np.repeat(np.frexp(counts.astype(np.float64))[1].astype(np.uint8), counts)  # 1: one document
     del order, sorted_
     at = 0
-    for chunk, own, doc in zip(chunks, hashes, docs):
+    for chunk, own, (doc, m) in zip(chunks, hashes, docs):
         level = log[at : at + len(own)]
         at += len(own)
         keep = level > 1
         if keep.any():
-            n = int(keep.sum())
-            yield row(chunk, 1, np.array([n], np.int64).tobytes() + own[keep].tobytes() + doc[keep].tobytes() + level[keep].tobytes())
+            yield row(chunk, 1, _packed(own[keep], doc[keep], int(m)) + level[keep].tobytes())
 
 
 SETS = "doc_id long, n long, s1 long, s2 long, prefix array<long>, rare binary"
@@ -155,10 +167,9 @@ def _prefixes(batches):
         s1, s2 = np.frombuffer(head, np.int64, m, 8 + 16 * m), np.frombuffer(head, np.int64, m, 8 + 24 * m)
         h, doc, level = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)], [np.zeros(0, np.uint8)]
         for body in bodies:
-            k = int(np.frombuffer(body, np.int64, 1)[0])
-            h.append(np.frombuffer(body, np.uint64, k, 8))
-            doc.append(np.frombuffer(body, np.uint32, k, 8 + 8 * k))
-            level.append(np.frombuffer(body, np.uint8, k, 8 + 12 * k))
+            for out, x in zip((h, doc), _unpacked(body)):
+                out.append(x)
+            level.append(np.frombuffer(_unpacked(body)[2], np.uint8))
         h, doc, level = map(np.concatenate, (h, doc, level))
         often = np.bincount(doc, minlength=m)
         wanted = n - -(-NUM * n // DEN) + 1 - (n - often)  # what of the prefix remains after unique shingles
@@ -381,11 +392,12 @@ def join(docs: DataFrame) -> DataFrame:
     sets = sets_of(docs)
     links = common.materialize(links_of(sets))
     # the least document stands for all of its set
-    named = sets.where((F.col("n") > 0) & (F.col("doc_id") != -(2**63))).groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
+    full = sets.where((F.col("n") > 0) & (F.col("doc_id") != -(2**63)))
+    named = full.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
     named = common.materialize(named)
     lead = named.groupBy("s1").agg(F.min("rep").alias("rep"))
     ends = links.join(lead.select(F.col("s1").alias("u"), F.col("rep").alias("ru")), "u").join(lead.select(F.col("s1").alias("v"), F.col("rep").alias("rv")), "v")
-    same = sets.where("n > 0").join(named, ["s1", "s2", "n"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    same = full.join(named, ["s1", "s2", "n"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     edges = ends.select(F.col("ru").alias("u"), F.col("rv").alias("v")).union(same.where("u <> v"))
     parts = common.connected_components(edges)
     ids = F.when(F.col("doc_id") != -(2**63), F.col("doc_id"))
