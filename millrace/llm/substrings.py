@@ -1,21 +1,26 @@
-"""Substring dedup by blockwise suffix sorting.
+"""Substring dedup by blockwise suffix sorting with a difference cover.
 
 A byte goes if a string of ``length`` bytes covers it that also starts earlier
 in the corpus (a smaller doc_id, or an earlier start in the same document);
 strings are judged on the input and never cross documents.
 
 The suffixes, one for each start of such a string, are sorted bucket by
-bucket, one bucket at a time, so memory is bounded by a bucket.  A suffix's
-bucket follows from a sample of its text: the least hash among the 16-byte
-strings within its first ``length`` bytes.  Equal strings have equal samples,
-so they meet in a bucket, and neighbouring suffixes mostly share theirs, so a
-bucket gets runs of suffixes as one piece of text.  (A difference cover also
-guarantees that two equal strings share a sample, but at an offset that
-depends on the pair, so it names no bucket to meet in: every suffix would have
-to be sent by itself.)  Samples also resolve long ties: a sample that occurs
-once in the corpus has no equal, and its suffixes are not sorted at all.
-Within a bucket suffixes are sorted by a 64-bit hash of their ``length``
-bytes; equal neighbours are then compared byte by byte.
+bucket and, within a bucket, block by block, so memory is bounded by a block.
+A suffix's bucket is the least hash among the 16-byte strings within its first
+``length`` bytes: equal strings meet in a bucket, and neighbouring suffixes
+mostly share one, so a bucket gets runs of suffixes as one piece of text.  A
+bucket key that occurs once in the corpus has no equal; its suffixes are not
+sorted at all.
+
+Within a block, positions whose remainder modulo v lies in a difference cover
+form the cover sample; their ranks, by the hash of the ``length - v`` bytes
+from there, are computed first.  Suffixes are then sorted by the hashes of
+their first and last v bytes only.  Long ties are resolved by the sample: for
+any two positions i and j there is a d < v with i + d and j + d in the cover,
+and the strings are equal just if those two ranks are, since d < v and
+d + length - v >= length - v leave no byte between uncompared.  Ranks stand
+for hashes, so equal neighbours are compared byte by byte at the end.  (Sorted
+is by hash, not by alphabet: only equality counts here.)
 
 Pieces that are equal within a map task are combined there: only the earliest
 is sent, the others are known to repeat it.  A passage with any number of
@@ -37,10 +42,10 @@ from . import common
 
 LENGTH = 100
 GRAM = 16
-BUCKET_BYTES = 8 << 20
-CHUNK_BYTES = 16 << 20
-SEGMENT = 1 << 20
-BLOCK = 1 << 20
+BUCKET_BYTES = 6 << 20
+CHUNK_BYTES = 32 << 20  # of pieces, which are about three times the text
+SEGMENT = 1 << 19
+BLOCK = 1 << 19
 _NULL = -(2**63)
 
 
@@ -108,14 +113,15 @@ def _cut(parts: int, length: int):
 
         schema = pa.schema([("to", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()), ("body", pa.binary())])
         pid, seq, pack = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=1)
-        held, size = [], 0
+        held, held_text = [], bytearray()
 
         def flush():
-            nonlocal held, size, seq
+            nonlocal held, held_text, seq
             chunk = (pid << 20) + seq
             seq += 1
-            doc, start, count, sample, again, content, texts = (np.concatenate(x) for x in zip(*held))
-            held, size = [], 0
+            doc, start, count, sample, again, content = (np.concatenate(x) for x in zip(*held))
+            texts = np.frombuffer(held_text, np.uint8)
+            held, held_text = [], bytearray()
             begin = np.cumsum(count + length - 1) - (count + length - 1)
             order = np.lexsort((start, doc, content))
             same = np.r_[False, content[order][1:] == content[order][:-1]]
@@ -146,13 +152,11 @@ def _cut(parts: int, length: int):
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(cells, schema.types)], schema=schema)
 
         def take(ids, raw, at, shift):
-            nonlocal size
             begin, count, sample, again, content = pieces_of(raw, at, length)
             if len(begin):
                 owner = np.searchsorted(at, begin, side="right") - 1
-                text = _gather(raw, begin, count + length - 1)
-                held.append((ids[owner], begin - at[owner] + shift, count, sample, again, content, text))
-                size += len(text)
+                held.append((ids[owner], begin - at[owner] + shift, count, sample, again, content))
+                held_text.extend(_gather(raw, begin, count + length - 1))
 
         for b in common.small(batches, most=SEGMENT):
             ids = b.column("doc_id").cast(pa.int64()).fill_null(_NULL).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -165,7 +169,7 @@ def _cut(parts: int, length: int):
                     for a in range(0, max(1, len(own) - length + 1), SEGMENT):
                         part = own[a : a + SEGMENT + length - 1]
                         take(ids[i : i + 1], part, np.array([0, len(part)]), a)
-            if size >= 3 * CHUNK_BYTES:
+            if len(held_text) >= CHUNK_BYTES:
                 yield from flush()
         if held:
             yield from flush()
@@ -173,21 +177,96 @@ def _cut(parts: int, length: int):
     return run
 
 
+#: Perfect difference sets, every remainder is a difference of two members.
+COVERS = {31: (1, 5, 11, 24, 25, 27), 7: (1, 2, 4), 3: (0, 1)}
+
+
+def cover_for(length: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """(v, cover, shifts): shifts[a, b] is the d with (a + d) % v and (b + d) % v in the cover."""
+    v = next((v for v in COVERS if 2 * v <= length), 3)
+    cover = np.array(COVERS[v])
+    shifts = np.full((v, v), -1)
+    for a in cover:
+        for b in cover:
+            d = np.arange(v)
+            shifts[(a - d) % v, (b - d) % v] = d
+    return v, cover, shifts
+
+
+class CoverSample:
+    """Ranks of a text's cover sample, by the ``depth`` bytes from each position."""
+
+    def __init__(self, s: np.ndarray, inv: np.ndarray, v: int, cover: np.ndarray, depth: int):
+        self.v, self.size = v, len(cover)
+        self.place = np.full(v, -1)
+        self.place[cover] = np.arange(len(cover))
+        n = len(inv)
+        at = (np.arange(-(-n // v))[:, None] * v + cover).ravel()
+        ok = at + depth <= n
+        a = np.where(ok, at, 0)
+        key = common.mix64((s[np.minimum(a + depth, n)] - s[a]) * inv[a])
+        order = np.argsort(key)
+        step = np.r_[False, key[order][1:] != key[order][:-1]]
+        self.rank = np.empty(len(at), np.int32)
+        self.rank[order] = np.cumsum(step)
+
+    def at(self, position: np.ndarray) -> np.ndarray:
+        return self.rank[position // self.v * self.size + self.place[position % self.v]]
+
+
+ROUNDS = 16
+
+
+def _equal_earlier(where: np.ndarray, raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(suffix, the least equal suffix before it) of suffixes in corpus order, up to collisions of hashes."""
+    v, cover, shifts = cover_for(length)
+    s, inv = common.prefix_hash(raw)
+
+    def hashed(at: np.ndarray, n: int) -> np.ndarray:
+        return common.mix64((s[at + n] - s[at]) * inv[at])
+
+    sample = CoverSample(s, inv, v, cover, length - v)
+    key = common.mix64(hashed(where, v) * np.uint64(3) + hashed(where + length - v, v))
+    order = np.argsort(key)
+    first = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+    group = np.diff(np.r_[first, len(order)])
+    tied = np.repeat(group > 1, group)
+    tie = np.repeat(np.arange(len(first)), group)[tied]
+    order = order[tied]
+    del key, first, group, tied
+    me, other = [], []
+    for turn in range(ROUNDS + 1):
+        if not len(order):
+            break
+        if turn == ROUNDS:  # many strings that differ only in between: one more sort, by all of each
+            key = hashed(where[order], length)
+            by = np.argsort(key)
+            order, tie = order[by], np.cumsum(np.r_[0, key[by][1:] != key[by][:-1]])
+        first = np.flatnonzero(np.r_[True, tie[1:] != tie[:-1]])
+        lead = np.repeat(np.minimum.reduceat(order, first), np.diff(np.r_[first, len(order)]))
+        if turn == ROUNDS:
+            same = np.ones(len(order), bool)
+        else:
+            p, q = where[order], where[lead]
+            d = shifts[p % v, q % v]
+            same = sample.at(p + d) == sample.at(q + d)
+        hit = same & (order != lead)
+        me.append(order[hit])
+        other.append(lead[hit])
+        order, tie = order[~same], tie[~same]
+    if not me:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    me, other = np.concatenate(me), np.concatenate(other)
+    by = np.argsort(me)
+    return me[by], other[by]
+
+
 def repeated(doc: np.ndarray, start: np.ndarray, count: np.ndarray, begin: np.ndarray, raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(piece, suffix within it) of the suffixes that have an equal earlier one; pieces come in the order of (doc, start)."""
-    s, inv = common.prefix_hash(raw)
     piece = np.repeat(np.arange(len(count)), count)
     inner = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count)
     where = begin[piece] + inner
-    key = common.mix64((s[where + length] - s[where]) * inv[where])
-    del s, inv
-    order = np.argsort(key)
-    first = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
-    group = np.diff(np.r_[first, len(order)])
-    low = np.empty(len(order), np.int64)
-    low[order] = np.repeat(np.minimum.reduceat(order, first), group)
-    me = np.flatnonzero(low != np.arange(len(low)))
-    q = low[me]
+    me, q = _equal_earlier(where, raw, length)
     # byte by byte: whole strings where a run of matches begins, then one byte more for each further match
     runs = np.r_[True, (me[1:] != me[:-1] + 1) | (q[1:] != q[:-1] + 1) | (piece[me][1:] != piece[me][:-1]) | (piece[q][1:] != piece[q][:-1])] if len(me) else np.zeros(0, bool)
     good = raw[where[me] + length - 1] == raw[where[q] + length - 1]
@@ -197,12 +276,11 @@ def repeated(doc: np.ndarray, start: np.ndarray, count: np.ndarray, begin: np.nd
         span = np.arange(length)
         good[k] &= (raw[where[me[k]][:, None] + span] == raw[where[q[k]][:, None] + span]).all(1)
     if not good.all():  # two strings of one hash: decide the groups concerned on the strings themselves
-        bad = np.unique(key[me[~good]])
-        inside = np.flatnonzero(np.isin(key, bad))
+        inside = np.isin(q, q[~good])
+        rest = np.union1d(me[inside], q[inside])
+        me, q = me[~inside], q[~inside]
         seen: dict[bytes, int] = {}
-        keep = ~np.isin(me, inside)
-        me, q = me[keep], q[keep]
-        more = [(i, f) for i in inside if (f := seen.setdefault(raw[where[i] : where[i] + length].tobytes(), i)) != i]
+        more = [(i, f) for i in rest.tolist() if (f := seen.setdefault(raw[where[i] : where[i] + length].tobytes(), i)) != i]
         if more:
             me, q = np.r_[me, [m for m, _ in more]], np.r_[q, [f for _, f in more]]
     # copies of one row are no earlier place

@@ -110,6 +110,35 @@ def test_substrings_random(spark, seed, monkeypatch):
     assert substring_rows(substrings.dedup(frame(spark, docs))) == brute.substring_dedup(docs)
 
 
+def test_difference_covers():
+    for length in (6, 14, 62, 100):
+        v, cover, shifts = substrings.cover_for(length)
+        assert all((a + shifts[a, b]) % v in cover and (b + shifts[a, b]) % v in cover and 0 <= shifts[a, b] < v for a in range(v) for b in range(v))
+
+
+@pytest.mark.parametrize("rounds", [1, 16])
+def test_ties_that_differ_in_between(monkeypatch, rounds):
+    """Strings with equal ends and different middles, in every alignment."""
+    import numpy as np
+
+    monkeypatch.setattr(substrings, "ROUNDS", rounds)
+    r, pieces = random.Random(rounds), []
+    for _ in range(200):
+        pieces.append(b"p" * r.randrange(3) + b"head" * 8 + bytes([97 + r.randrange(5)]) * r.randrange(20, 40) + b"tail" * 8 + b"q" * r.randrange(2))
+    pieces = [p for p in pieces if len(p) >= 90]
+    count = np.array([len(p) - 89 for p in pieces])
+    size = np.array([len(p) for p in pieces])
+    raw = np.frombuffer(b"".join(pieces), np.uint8)
+    piece, inner = substrings.repeated(np.arange(len(pieces)), np.zeros(len(pieces), np.int64), count, np.cumsum(size) - size, raw, 90)
+    seen, want = set(), set()
+    for i, p in enumerate(pieces):
+        for k in range(len(p) - 89):
+            if p[k : k + 90] in seen:
+                want.add((i, k))
+            seen.add(p[k : k + 90])
+    assert set(zip(piece.tolist(), inner.tolist())) == want
+
+
 def test_substrings_of_equal_hash_are_compared(monkeypatch):
     """With a hash that says nothing, the bytes decide."""
     import numpy as np
