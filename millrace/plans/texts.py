@@ -149,3 +149,30 @@ text("star_time_buckets", """SELECT h8, h12, h16 FROM (SELECT COUNT(*) AS h8 FRO
 text("star_share_of_class", f"""SELECT p_type, p_brand, CAST(s AS DOUBLE) AS s, ROUND(CAST(s AS DOUBLE) * 100 / NULLIF(CAST(SUM(s) OVER (PARTITION BY p_type) AS DOUBLE), 0), 4) AS share
     FROM (SELECT p_type, p_brand, SUM(net) AS s FROM ({SALE}) x WHERE yr IN (1996, 1997) GROUP BY p_type, p_brand) t""")
 text("ext_tumbling", f"""SELECT date_trunc('hour', ts) AS hour_begin, event_type, COUNT(*) AS n, CAST(SUM({M('value')}) AS DOUBLE) AS total FROM {{events}} GROUP BY 1, 2""")
+
+# -- further patterns of the corpus ---------------------------------------------
+text("star_year_growth", f"""WITH y AS (SELECT o_custkey, yr, SUM(net) AS s FROM ({SALE}) x GROUP BY o_custkey, yr)
+    SELECT a.o_custkey AS cust, ROUND(CAST(a.s AS DOUBLE), 2) AS s1, ROUND(CAST(b.s AS DOUBLE), 2) AS s2 FROM y a JOIN y b ON a.o_custkey = b.o_custkey AND b.yr = a.yr + 1
+    WHERE a.yr = 1996 AND a.s > 0 AND CASE WHEN a.s > 0 THEN CAST(b.s AS DOUBLE) / CAST(a.s AS DOUBLE) ELSE NULL END > 1.5 ORDER BY cust LIMIT 100""")
+text("star_channel_rollup", f"""WITH all_rows AS (SELECT 'orders' AS channel, concat('o', CAST(o_orderpriority AS VARCHAR(20))) AS id, {M('o_totalprice')} AS sales, CAST(0 AS DECIMAL(18,2)) AS returns_ FROM {{orders}}
+    UNION ALL SELECT 'lines', concat('l', CAST(l_returnflag AS VARCHAR(20))), {M('l_extendedprice')}, CASE WHEN l_returnflag = 'R' THEN {M('l_extendedprice')} ELSE CAST(0 AS DECIMAL(18,2)) END FROM {{lineitem}})
+    SELECT channel, id, CAST(SUM(sales) AS DOUBLE) AS sales, CAST(SUM(returns_) AS DOUBLE) AS returns_, CAST(GROUPING(channel) + GROUPING(id) AS INTEGER) AS level FROM all_rows GROUP BY ROLLUP (channel, id)""")
+text("star_pivot_weekday", """SELECT c_mktsegment, CAST(SUM(CASE WHEN dayofweek(o_orderdate) = 1 THEN 1 ELSE 0 END) AS BIGINT) AS sun, CAST(SUM(CASE WHEN dayofweek(o_orderdate) = 4 THEN 1 ELSE 0 END) AS BIGINT) AS wed,
+    COUNT(*) AS n FROM {orders} JOIN {customer} ON o_custkey = c_custkey GROUP BY c_mktsegment""",
+    """SELECT c_mktsegment, CAST(SUM(CASE WHEN dayofweek(o_orderdate) = 0 THEN 1 ELSE 0 END) AS BIGINT) AS sun, CAST(SUM(CASE WHEN dayofweek(o_orderdate) = 3 THEN 1 ELSE 0 END) AS BIGINT) AS wed,
+    COUNT(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment""")
+text("star_cumulative_cross", """WITH d AS (SELECT CAST(ts AS DATE) AS day, user_id % 5 AS g, COUNT(*) AS n FROM {events} GROUP BY 1, 2)
+    SELECT day, g, CAST(SUM(n) OVER (PARTITION BY g ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS running, MAX(n) OVER (PARTITION BY g ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS top FROM d""")
+text("star_best_worst", """WITH r AS (SELECT p_brand, AVG(l_suppkey) AS a FROM {lineitem} JOIN {part} ON l_partkey = p_partkey GROUP BY p_brand),
+    u AS (SELECT p_brand, CAST(RANK() OVER (ORDER BY a, p_brand) AS INTEGER) AS k FROM r), w AS (SELECT p_brand, CAST(RANK() OVER (ORDER BY a DESC, p_brand) AS INTEGER) AS k FROM r)
+    SELECT u.k, u.p_brand AS best, w.p_brand AS worst FROM u JOIN w ON u.k = w.k WHERE u.k < 11 ORDER BY u.k""")
+text("star_days_late", """SELECT n_name, CAST(SUM(CASE WHEN datediff(l_shipdate, o_orderdate) <= 30 THEN 1 ELSE 0 END) AS BIGINT) AS d30, CAST(SUM(CASE WHEN datediff(l_shipdate, o_orderdate) > 30 AND datediff(l_shipdate, o_orderdate) <= 400 THEN 1 ELSE 0 END) AS BIGINT) AS d400,
+    CAST(SUM(CASE WHEN datediff(l_shipdate, o_orderdate) > 400 THEN 1 ELSE 0 END) AS BIGINT) AS more FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {supplier} ON l_suppkey = s_suppkey JOIN {nation} ON s_nationkey = n_nationkey GROUP BY n_name""",
+    """SELECT n_name, CAST(SUM(CASE WHEN x <= 30 THEN 1 ELSE 0 END) AS BIGINT) AS d30, CAST(SUM(CASE WHEN x > 30 AND x <= 400 THEN 1 ELSE 0 END) AS BIGINT) AS d400, CAST(SUM(CASE WHEN x > 400 THEN 1 ELSE 0 END) AS BIGINT) AS more
+    FROM (SELECT n_name, date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS x FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey) t GROUP BY n_name""")
+text("star_interval_join", """SELECT COUNT(*) AS n FROM {orders} a JOIN {orders} b ON a.o_custkey = b.o_custkey AND b.o_orderdate > a.o_orderdate + INTERVAL 5 DAY AND b.o_orderdate <= a.o_orderdate + INTERVAL 60 DAY""")
+text("star_both_channels", """SELECT CAST(SUM(CASE WHEN a.k IS NOT NULL AND b.k IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS a_only, CAST(SUM(CASE WHEN a.k IS NULL AND b.k IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS b_only,
+    CAST(SUM(CASE WHEN a.k IS NOT NULL AND b.k IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS both_ FROM (SELECT o_custkey AS k FROM {orders} WHERE year(o_orderdate) = 1995 GROUP BY o_custkey) a
+    FULL OUTER JOIN (SELECT user_id AS k FROM {events} WHERE event_type = 'purchase' GROUP BY user_id) b ON a.k = b.k""")
+text("star_top_in_rollup", f"""SELECT p_type, p_brand, yr, CAST(s AS DOUBLE) AS s, rk FROM (SELECT p_type, p_brand, yr, s, CAST(RANK() OVER (PARTITION BY p_type ORDER BY s DESC) AS INTEGER) AS rk FROM
+    (SELECT p_type, p_brand, yr, SUM(COALESCE(qty, CAST(0 AS DECIMAL(18,2)))) AS s FROM ({SALE}) x GROUP BY ROLLUP (p_type, p_brand, yr)) a) b WHERE rk <= 3""")

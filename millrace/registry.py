@@ -39,4 +39,5 @@ def all_oracles() -> dict[str, str]:
 def _load() -> None:
     """Importing a module registers its queries."""
     from .operators import aggregates, basics, joins, ordering  # noqa: F401
+    from .functions import families  # noqa: F401
     from .plans import texts, tools  # noqa: F401
