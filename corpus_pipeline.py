@@ -29,8 +29,10 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     groups = jaccard.join(docs)
     kept = groups.where("component_id IS NULL OR doc_id = component_id").select("doc_id").distinct()
     out = docs.join(kept.hint("merge"), docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
+    if not _ids_repeat(docs):
+        return out
     # rows that share an id are one document of the group
-    return out.dropDuplicates(["doc_id"]) if _ids_repeat(docs) else out
+    return out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(out.where("doc_id IS NULL"))
 
 
 def _ids_repeat(docs: DataFrame) -> bool:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 #: ASCII white space of the word definition ``[^\\x20\\x09-\\x0D]+``.
 WORD_RE = r"[^\x20\x09-\x0D]+"
-#: Input bytes that one partition of a Python stage should hold.
+#: Least input bytes for which a stage gets a partition of its own.
 PART_BYTES = 8 << 20
 
 
@@ -72,8 +72,12 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def partitions_for(spark: SparkSession, n_bytes: float, part_bytes: int = PART_BYTES) -> int:
-    """Partitions so that each holds about ``part_bytes``; never under the session's own number."""
+def partitions_for(spark: SparkSession, n_bytes: float, part_bytes: int | None = None) -> int:
+    """Partitions of about ``part_bytes``, by default the session's advisory size; never under the session's own number."""
+    if part_bytes is None:
+        advised = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m").strip().lower().removesuffix("b")
+        unit = {"k": 10, "m": 20, "g": 30, "t": 40}.get(advised[-1:], 0)
+        part_bytes = max(PART_BYTES, int(float(advised.rstrip("kmgt")) * 2**unit))
     own = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     return int(max(own, -(-n_bytes // part_bytes), 1))
 

@@ -27,6 +27,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MAX_PASSES = 3
 BLOCK_WORDS = 64
 SHARD_SLOTS = 1 << 16
+MAX_SHARDS = 4096  # the driver draws a row for each shard and source
 BUCKET_DOCS = 1000
 
 
@@ -149,7 +150,7 @@ def mix(
     )
     parts = parts.withColumn("start", F.greatest(F.lit(0), F.col("index") * w - F.col("row_key")))
     parts = parts.withColumn("words", F.least("size", (F.col("index") + 1) * w - F.col("row_key")) - F.col("start"))
-    draws = [(s, i, at, c, blocks[i]) for s, i, at, c in shard_counts(slots, shard_slots, seed)]
+    draws = [(s, i, at, c, blocks[i]) for s, i, at, c in shard_counts(slots, max(shard_slots, -(-sum(slots) // MAX_SHARDS)), seed)]
     runs = spark.createDataFrame(draws, "shard int, k int, first long, count long, blocks long")
     # cut long runs so that no task makes more than a few thousand slots a row
     runs = runs.select("*", F.explode(F.sequence(F.lit(0), F.expr("(count - 1) div 4096"))).alias("cut"))

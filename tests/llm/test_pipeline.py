@@ -73,10 +73,10 @@ def test_packing_stage(stages):
 
 
 def test_edges(spark, small):
-    rows = [(1, None), (2, ""), (3, "a b c"), (3, "a b c"), (None, "x y z"), (4, "hot " * 3000)]
+    rows = [(1, None), (2, ""), (3, "a b c"), (3, "a b c"), (None, "x y z"), (None, "u v w"), (4, "hot " * 3000)]
     docs = spark.createDataFrame([(i, t, None, None, None, 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, gone int")
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, docs, small).collect()
         stage(spark, docs.where(F.lit(False)), small).collect()
     same = corpus_pipeline.one_of_each_group(spark, docs, small)
-    assert same.where("doc_id = 3").count() == 1
+    assert same.where("doc_id = 3").count() == 1 and same.where("doc_id IS NULL").count() == 2
