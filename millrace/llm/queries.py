@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, htmltext, itq, jaccard, licences, lines, mixing, packing, quality, substrings
+from . import fingerprints, htmltext, itq, jaccard, licences, lines, mixing, oracles, packing, quality, substrings
 from .common import read
 
 
@@ -68,4 +68,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_suffix_array_dedup, op2_quality_classifier, op3_line_dedup, op4_packing, op5_jaccard_join, op6_fingerprints, op7_html_extraction, op8_licence_scan, op9_mixing, op10_embedding_dedup)
 }
 
-ORACLES: dict[str, str] = {"op8_licence_scan": licences.oracle_sql()}
+ORACLES: dict[str, str] = {
+    "op1_suffix_array_dedup": oracles.SUBSTRINGS,
+    "op3_line_dedup": oracles.LINES,
+    "op5_jaccard_join": oracles.JACCARD,
+    "op8_licence_scan": licences.oracle_sql(),
+    "op10_embedding_dedup": oracles.VECTORS,
+}
