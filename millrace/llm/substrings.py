@@ -136,7 +136,8 @@ def _cut(parts: int, length: int):
             if len(gone):
                 body = np.array([len(gone)], np.int64).tobytes() + doc[gone].tobytes() + start[gone].tobytes() + count[gone].tobytes()
                 yield row(int(pid % parts), chunk, 0, body)
-            to = ((sample[stay] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+            # mixed once more: the least of many hashes is a small number
+            to = ((common.mix64(sample[stay]) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
             by = np.argsort(to, kind="stable")
             stay, to = stay[by], to[by]
             edges = np.searchsorted(to, np.arange(parts + 1))
@@ -408,7 +409,7 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, kept (the remaining bytes) and spans (begin, end of each removed run) of every document."""
     found = repeated_spans(docs, length)
     found = found.groupBy("id").agg(F.flatten(F.collect_list("begins")).alias("begins"), F.flatten(F.collect_list("ends")).alias("ends"))
-    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(_NULL)).alias("id"), "text").join(found, "id", "left")
+    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(_NULL)).alias("id"), "text").join(found.hint("merge"), "id", "left")
 
     def run(batches):
         import pyarrow as pa
