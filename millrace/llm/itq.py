@@ -217,7 +217,9 @@ def links_of(classes: DataFrame, n: int, dimensions: int, threshold: float = THR
     split = split.select("to", "id", "copies", "code", "vector", "b", F.inline(others))
     at = F.when(F.col("bj") > 0, F.xxhash64("to", "bi", "bj")).otherwise(F.col("to"))
     split = split.repartitionById(parts, F.pmod(at, F.lit(parts)).cast("int")).sortWithinPartitions("to", "bi", "bj")
-    return split.mapInArrow(_compared(bits, lead, near, threshold), "u long, v long, n long")
+    found = common.materialize(split.mapInArrow(_compared(bits, lead, near, threshold), "u long, v long, n long"))
+    common.discard(placed)
+    return found
 
 
 def dedup(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -239,7 +241,7 @@ def dedup(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         if n > 1:
             got = links_of(classes.where(F.col("length") == length), n, length, threshold)
             found = got if found is None else found.union(got)
-    found = common.materialize(found if found is not None else spark.createDataFrame([], "u long, v long, n long"))
+    found = found if found is not None else spark.createDataFrame([], "u long, v long, n long")
     counted = found.where("n is not null").groupBy("u").agg(F.sum("n").alias("links"))
     named = common.materialize(classes.select("a", "b", "id", "copies", "rep").join(counted, F.col("id") == F.col("u"), "left").drop("u"))
     # a class without any id of its own still joins others, under a number that no vector has

@@ -86,7 +86,7 @@ def with_company(keyed: DataFrame, key: str) -> DataFrame:
 
 
 def candidates(lines: DataFrame, docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
-    """(survivors with their words, pairs a, other, at of lines and an earlier witness that share a variant)."""
+    """(survivors with their words, pairs a, other, i of lines and an earlier witness that share a variant), both written."""
     halves = lines.where(F.col("n") >= min_words).select("a", F.explode(F.array_distinct(F.array("h1", "h2", "t1", "t2"))).alias("key"))
     near = with_company(halves, "key").select("a").distinct()
     survivors = common.materialize(lines.join(near, "a").select("a", "b", "n", "first.did", "first.line_no"))
@@ -120,7 +120,9 @@ def candidates(lines: DataFrame, docs: DataFrame, min_words: int = MIN_WORDS) ->
     longer = low.where("i >= 0").groupBy("key").agg(F.min(F.struct("low", "i")).alias("lo"))
     inserted = placed.where("i >= 0").join(whole, "key").where("at > low_self").select("a", F.col("low_self.a").alias("other"), "i")
     deleted = placed.where("i < 0").join(longer, "key").where("at > lo.low").select("a", F.col("lo.low.a").alias("other"), F.col("lo.i").alias("i"))
-    return found, replaced.union(inserted).union(deleted).dropDuplicates(["a", "other", "i"])
+    pairs = common.materialize(replaced.union(inserted).union(deleted).dropDuplicates(["a", "other", "i"]))
+    common.discard(survivors, shared)
+    return found, pairs
 
 
 def verified(found: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -147,11 +149,13 @@ def _rewritten(docs: DataFrame, min_words: int) -> DataFrame:
     lines = common.materialize(distinct_lines(docs, min_words))
     found, pairs = candidates(lines, docs, min_words)
     near = common.materialize(verified(found, pairs).withColumn("near", F.lit(True)))
+    common.discard(found, pairs)
     hit = lines.select("a", "b", "first", "copies").join(near, ["a", "b"], "left").where("copies > 1 or near")
     hit = hit.select("a", "b", F.coalesce("near", F.lit(False)).alias("near"), F.col("first.did").alias("f_did"), F.col("first.line_no").alias("f_no"))
     every = _hashed(line_rows(docs)).select("did", "line_no", "a", "b")
     gone = every.join(hit, ["a", "b"]).where("near or did <> f_did or line_no <> f_no").select("did", "line_no")
     gone = common.materialize(gone.groupBy("did").agg(F.collect_set("line_no").alias("gone")))
+    common.discard(lines, near)
     # what the input calls its columns is kept apart, so that no name clashes
     rows = docs.select(_did().alias("did"), "text", F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("row"))
     rows = rows.join(gone.hint("merge"), "did", "left")

@@ -143,6 +143,7 @@ def mix(
         .select("k", "doc_id", "source", "size", "source_size", "target", "blocks", (F.col("before") + F.col("inner")).alias("row_key"))
     )
     placed = common.materialize(placed)
+    common.discard(sized)
     w = F.lit(block_words)
     parts = placed.where("size > 0").select(
         "k", "doc_id", "row_key", "size",

@@ -368,7 +368,8 @@ def test_licences(spark):
     assert licences.scan(frame(spark, docs)).count() == 9 and licences.scan(frame(spark, [])).count() == 0
 
 
-def test_licence_oracle(spark, small, duck):
+@pytest.mark.parametrize("key", sorted(queries.ORACLES))
+def test_oracles(spark, small, duck, key):
     from compare import same_rows
 
-    same_rows(queries.op8_licence_scan(spark, small), duck.sql(queries.ORACLES["op8_licence_scan"]))
+    same_rows(queries.QUERIES[key](spark, small), duck.sql(queries.ORACLES[key]))
