@@ -6,7 +6,7 @@ strings are judged on the input and never cross documents.
 
 The suffixes, one for each start of such a string, are sorted bucket by
 bucket and, within a bucket, block by block, so memory is bounded by a block.
-A suffix's bucket is the least hash among the 16-byte strings within its first
+A suffix's bucket is the least hash among the 12-byte strings within its first
 ``length`` bytes: equal strings meet in a bucket, and neighbouring suffixes
 mostly share one, so a bucket gets runs of suffixes as one piece of text.  A
 bucket key that occurs once in the corpus has no equal; its suffixes are not
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from . import common
 
 LENGTH = 100
-GRAM = 16
+GRAM = 12
 BUCKET_BYTES = 6 << 20
 CHUNK_BYTES = 32 << 20  # of pieces, which are about three times the text
 SEGMENT = 1 << 19
@@ -103,6 +103,23 @@ def _gather(raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return raw[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())]
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The first bytes of all values, then the second ones, and so on: they compress better."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+_HEAD = (np.int64, np.int64, np.int64, np.uint32, np.uint8)  # doc, start, count, sample, again
+
+
+def _unplaned(body: bytes, n: int, at: int) -> tuple[list[np.ndarray], int]:
+    out = []
+    for kind in _HEAD:
+        width = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(body, np.uint8, n * width, at).reshape(width, n).T).view(kind).ravel())
+        at += n * width
+    return out, at
+
+
 def _cut(parts: int, length: int):
     """Map stage: pieces by bucket, and what a task already knows to be repeated."""
 
@@ -112,7 +129,7 @@ def _cut(parts: int, length: int):
         from pyspark import TaskContext
 
         schema = pa.schema([("to", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()), ("body", pa.binary())])
-        pid, seq, pack = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=1)
+        pid, seq, pack = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=5)
         held, held_text = [], bytearray()
 
         def flush():
@@ -145,8 +162,8 @@ def _cut(parts: int, length: int):
                 own = stay[edges[k] : edges[k + 1]]
                 if len(own):
                     n = count[own] + length - 1
-                    columns = (doc[own], start[own], count[own], sample[own], again[own].astype(np.int64))
-                    body = np.array([len(own)], np.int64).tobytes() + b"".join(c.tobytes() for c in columns)
+                    columns = (doc[own], start[own], count[own], sample[own].astype(np.uint32), again[own].astype(np.uint8))
+                    body = np.array([len(own)], np.int64).tobytes() + b"".join(map(_planes, columns))
                     yield row(k, chunk, 1, pack.compress(body + _gather(texts, begin[own], n).tobytes()))
 
         def row(*cells):
@@ -308,20 +325,22 @@ def _sorted(length: int):
                 body = unpack.decompress(body)
                 n = int(np.frombuffer(body, np.int64, 1)[0])
                 chunks.append(np.full(n, chunk.as_py(), np.int64))
-                heads.append(np.frombuffer(body, np.int64, 5 * n, 8).reshape(5, n))
-                texts.append(np.frombuffer(body, np.uint8, -1, 8 + 40 * n))
+                head, at = _unplaned(body, n, 8)
+                heads.append(head)
+                texts.append(np.frombuffer(body, np.uint8, -1, at))
         if not chunks:
             return
-        chunk, (doc, start, count, sample, again) = np.concatenate(chunks), np.concatenate(heads, axis=1)
+        chunk = np.concatenate(chunks)
+        doc, start, count, sample, again = (np.concatenate(x) for x in zip(*heads))
         raw = np.concatenate(texts)
         del heads, texts
         size = count + length - 1
         begin = np.cumsum(size) - size
-        order = np.lexsort((start, doc, sample.view(np.uint64)))
+        order = np.lexsort((start, doc, sample))
         first = np.flatnonzero(np.r_[True, sample[order][1:] != sample[order][:-1]])
         group = np.diff(np.r_[first, len(order)])
         # a sample that occurs once has no equal
-        use = np.flatnonzero((group > 1) | (np.add.reduceat(again[order], first) > 0))
+        use = np.flatnonzero((group > 1) | (np.maximum.reduceat(again[order], first) > 0))
         load = np.cumsum(np.add.reduceat(count[order], first)[use])
         found = []
         a = 0
