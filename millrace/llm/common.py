@@ -58,6 +58,15 @@ def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return out
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """As :func:`materialize` for rows of large binaries, which a columnar reader would take by the thousand.
+
+    Call :func:`release` once ``df`` itself is out of use.
+    """
+    shared_dir(df.sparkSession)  # sees to a checkpoint folder
+    return df.checkpoint(eager=True)
+
+
 def discard(*dfs: DataFrame) -> None:
     """Delete tables of :func:`materialize` that no later plan reads."""
     for df in dfs:

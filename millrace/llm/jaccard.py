@@ -209,7 +209,10 @@ def sets_of(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     parts = common.partitions_for(docs.sparkSession, common.text_bytes(docs), BUCKET_BYTES)
     packed = docs.mapInArrow(_shingled(parts), "to int, chunk long, kind int, body binary")
-    answers = packed.repartitionById(parts, F.col("to")).mapInArrow(_frequent, "chunk long, kind int, body binary")
+    # written, so that the shingles' own shuffle can go before the answers are dealt
+    answers = common.checkpointed(packed.repartitionById(parts, F.col("to")).mapInArrow(_frequent, "chunk long, kind int, body binary"))
+    del packed
+    common.release(docs.sparkSession)
     by_chunk = answers.repartitionById(parts, F.pmod(F.shiftright("chunk", 20), F.lit(parts)).cast("int")).sortWithinPartitions("chunk")
     return common.materialize(by_chunk.mapInArrow(_prefixes, SETS))
 
@@ -364,7 +367,7 @@ def links_of(sets: DataFrame) -> DataFrame:
     size = pairs.groupBy("p").agg(F.count("*").alias("rows"))
     salts = size.select("p", F.expr(f"rows div {SALT_ROWS} + 1").cast("int").alias("salts"))
     data = own.select("x", "n", "rare")
-    members = pairs.join(salts, "p").select("p", F.pmod("x", F.col("salts")).cast("int").alias("salt"), "x").join(data, "x")
+    members = pairs.join(salts.hint("merge"), "p").select("p", F.pmod("x", F.col("salts")).cast("int").alias("salt"), "x").join(data, "x")
     pivots = salts.select("p", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("p").alias("x")).join(data, "x")
     columns = ("p", "salt", "x", "n", "rare")
     parts = common.partitions_for(spark, 0)
@@ -374,23 +377,25 @@ def links_of(sets: DataFrame) -> DataFrame:
     inner = near.where("inner").select(F.col("p").alias("u"), F.col("x").alias("v"))
     # what a region has left: outer sets, and the inner ones that the triangle inequality leaves as partners
     least = near.where("not inner").groupBy("p").agg(F.min("d").alias("least"))
-    rest = near.join(least, "p").where((~F.col("inner")) | (F.col("d") >= F.col("least") - r - 1e-12))
+    rest = near.join(least.hint("merge"), "p").where((~F.col("inner")) | (F.col("d") >= F.col("least") - r - 1e-12))
     rest = common.materialize(rest.select("p", "x", (~F.col("inner")).alias("outer")))
     tall = rest.groupBy("p").agg(F.count("*").alias("rows")).where("rows > 1")
     tall = tall.select("p", F.expr(f"rows div {REST_ROWS} + 1").cast("int").alias("blocks"))
-    placed = rest.join(tall, "p").withColumn("b", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
+    placed = rest.join(tall.hint("merge"), "p").withColumn("b", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
     # block pairs (i, j), i <= j: every two members meet in one task
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("b", k).alias("bi"), F.greatest("b", k).alias("bj")))
     placed = placed.select("p", "x", "outer", F.inline(others)).join(data, "x")
     placed = placed.repartition(parts, "p", "bi", "bj").sortWithinPartitions("p", "bi", "bj", "x")
     found = placed.select("p", "bi", "bj", "x", "n", "rare", "outer").mapInArrow(_rest, "u long, v long")
-    return inner.union(found).distinct()
+    links = common.materialize(inner.union(found).distinct())
+    common.discard(own, pairs, near, rest)
+    return links
 
 
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     sets = sets_of(docs)
-    links = common.materialize(links_of(sets))
+    links = links_of(sets)
     # the least document stands for all of its set
     full = sets.where((F.col("n") > 0) & (F.col("doc_id") != -(2**63)))
     named = full.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
