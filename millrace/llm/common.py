@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -75,9 +76,15 @@ def discard(*dfs: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of finished jobs."""
+def release(spark: SparkSession, settle: float = 0) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished jobs.
+
+    Plans that Python held are let go by a thread of the gateway that wakes
+    once a second; ``settle`` waits for it.
+    """
     gc.collect()
+    if settle:
+        time.sleep(settle)
     spark.sparkContext._jvm.System.gc()
 
 

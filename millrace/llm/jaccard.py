@@ -212,7 +212,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
     # written, so that the shingles' own shuffle can go before the answers are dealt
     answers = common.checkpointed(packed.repartitionById(parts, F.col("to")).mapInArrow(_frequent, "chunk long, kind int, body binary"))
     del packed
-    common.release(docs.sparkSession)
+    common.release(docs.sparkSession, settle=2.5)
     by_chunk = answers.repartitionById(parts, F.pmod(F.shiftright("chunk", 20), F.lit(parts)).cast("int")).sortWithinPartitions("chunk")
     return common.materialize(by_chunk.mapInArrow(_prefixes, SETS))
 
