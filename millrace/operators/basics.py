@@ -151,7 +151,11 @@ def _csv(spark, d, schema, columns: str, source: str):
 
     from ..sources.tables import read_csv
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.gettempdir()
     path = f"{base.rstrip('/')}/millrace-csv-{uuid.uuid4().hex}"
     table(spark, d, source).selectExpr(*columns.split(", ")).write.option("header", True).csv(path)
     return read_csv(spark, path, schema)
