@@ -10,7 +10,7 @@ import sys
 
 from .plans.statements import run
 from .session import get_session
-from .sources.tables import load_directory, register_csv, register_parquet
+from .sources.tables import TPCDS_TABLES, load_directory, register_csv, register_parquet
 
 
 def main(args: list[str] | None = None) -> int:
@@ -19,7 +19,7 @@ def main(args: list[str] | None = None) -> int:
     parser.add_argument("--load-csv", action="append", default=[], metavar="NAME=PATH")
     parser.add_argument("--load-parquet", action="append", default=[], metavar="NAME=PATH")
     parser.add_argument("--load-directory", metavar="PATH", help="a folder with NAME.csv or NAME.dat for the names given by --tables")
-    parser.add_argument("--tables", default="", help="comma-separated names")
+    parser.add_argument("--tables", default="", help="comma-separated names; the TPC-DS tables otherwise")
     parser.add_argument("--delimiter", default=",")
     parser.add_argument("--sql", required=True, help="statements parted by semicolons; the last one's result is printed")
     parser.add_argument("--format", choices=("table", "csv", "json"), default="table")
@@ -29,7 +29,7 @@ def main(args: list[str] | None = None) -> int:
         for item in given:
             load(*item.split("=", 1))
     if a.load_directory:
-        load_directory(spark, a.load_directory, [n for n in a.tables.split(",") if n], a.delimiter)
+        load_directory(spark, a.load_directory, [n for n in a.tables.split(",") if n] or TPCDS_TABLES, a.delimiter)
     result = run(spark, a.sql)
     if a.format == "table":
         result.show(truncate=False)

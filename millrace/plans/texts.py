@@ -176,3 +176,26 @@ text("star_both_channels", """SELECT CAST(SUM(CASE WHEN a.k IS NOT NULL AND b.k
     FULL OUTER JOIN (SELECT user_id AS k FROM {events} WHERE event_type = 'purchase' GROUP BY user_id) b ON a.k = b.k""")
 text("star_top_in_rollup", f"""SELECT p_type, p_brand, yr, CAST(s AS DOUBLE) AS s, rk FROM (SELECT p_type, p_brand, yr, s, CAST(RANK() OVER (PARTITION BY p_type ORDER BY s DESC) AS INTEGER) AS rk FROM
     (SELECT p_type, p_brand, yr, SUM(COALESCE(qty, CAST(0 AS DECIMAL(18,2)))) AS s FROM ({SALE}) x GROUP BY ROLLUP (p_type, p_brand, yr)) a) b WHERE rk <= 3""")
+text("star_zip_intersect", """SELECT n_name, COUNT(*) AS n FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey WHERE substr(s_name, 19, 1) IN (SELECT k FROM (SELECT substr(c_name, 19, 1) AS k FROM {customer} WHERE c_acctbal > 0
+    INTERSECT SELECT k FROM (SELECT substr(c_name, 19, 1) AS k, COUNT(*) AS cnt FROM {customer} WHERE c_mktsegment = 'BUILDING' GROUP BY substr(c_name, 19, 1) HAVING COUNT(*) > 2) a) b) GROUP BY n_name""")
+text("star_bucket_stats", f"""SELECT b1.n AS n1, b1.d AS d1, b1.s AS s1, b2.n AS n2, b2.d AS d2, b2.s AS s2 FROM
+    (SELECT COUNT(l_quantity) AS n, COUNT(DISTINCT l_quantity) AS d, CAST(SUM({M('l_extendedprice')}) AS DOUBLE) AS s FROM {{lineitem}} WHERE l_quantity BETWEEN 0 AND 5 AND (l_discount BETWEEN 0.02 AND 0.05 OR l_tax > 0.06)) b1
+    CROSS JOIN (SELECT COUNT(l_quantity) AS n, COUNT(DISTINCT l_quantity) AS d, CAST(SUM({M('l_extendedprice')}) AS DOUBLE) AS s FROM {{lineitem}} WHERE l_quantity BETWEEN 6 AND 10) b2""")
+text("star_ticket_counts", """SELECT c_name, c_mktsegment, cnt FROM (SELECT o_custkey, o_orderpriority, COUNT(*) AS cnt FROM {orders} WHERE day(o_orderdate) BETWEEN 1 AND 15 GROUP BY o_custkey, o_orderpriority) dn
+    JOIN {customer} ON o_custkey = c_custkey WHERE cnt BETWEEN 3 AND 5 ORDER BY cnt DESC, c_name, o_orderpriority""")
+text("star_month_pivot_ratio", f"""SELECT s_suppkey, CAST(jan AS DOUBLE) AS jan, CAST(jul AS DOUBLE) AS jul, ROUND(CAST(jul AS DOUBLE) / NULLIF(CAST(jan AS DOUBLE), 0), 4) AS ratio FROM (SELECT l_suppkey,
+    SUM(CASE WHEN month(l_shipdate) = 1 THEN {M('l_extendedprice')} ELSE CAST(0 AS DECIMAL(18,2)) END) AS jan, SUM(CASE WHEN month(l_shipdate) = 7 THEN {M('l_extendedprice')} ELSE CAST(0 AS DECIMAL(18,2)) END) AS jul
+    FROM {{lineitem}} WHERE year(l_shipdate) = 1997 GROUP BY l_suppkey) t JOIN {{supplier}} ON l_suppkey = s_suppkey""")
+text("star_or_blocks", f"""SELECT COUNT(*) AS n, CAST(SUM({M('l_extendedprice')}) AS DOUBLE) AS s FROM {{lineitem}}, {{orders}}, {{customer}} WHERE l_orderkey = o_orderkey AND o_custkey = c_custkey AND
+    ((c_mktsegment = 'MACHINERY' AND c_acctbal BETWEEN 0 AND 5000 AND l_quantity BETWEEN 10 AND 30) OR (c_mktsegment = 'FURNITURE' AND c_acctbal > 1000 AND l_quantity < 20) OR (c_nationkey IN (1, 5, 9) AND l_discount > 0.08))""")
+text("star_cross_year_stores", f"""WITH w AS (SELECT o_orderpriority AS p, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS m, SUM({M('o_totalprice')}) AS s FROM {{orders}} GROUP BY 1, 2, 3)
+    SELECT a.p, a.m, ROUND(CAST(a.s AS DOUBLE) / NULLIF(CAST(b.s AS DOUBLE), 0), 4) AS r FROM (SELECT * FROM w WHERE y = 1996) a JOIN (SELECT * FROM w WHERE y = 1997) b ON a.p = b.p AND a.m = b.m ORDER BY a.p, a.m""")
+text("star_manufacturers", """SELECT DISTINCT p_name FROM {part} p1 WHERE p_size BETWEEN 10 AND 40 AND (SELECT COUNT(*) FROM {part} p2 WHERE (p2.p_type = p1.p_type AND p2.p_brand = 'Brand#7' AND p2.p_size < 10)
+    OR (p2.p_type = p1.p_type AND p2.p_brand = 'Brand#9' AND p2.p_size > 45)) > 0 ORDER BY p_name LIMIT 100""")
+text("star_promotion_share", f"""SELECT CAST(promo AS DOUBLE) AS promo, CAST(total AS DOUBLE) AS total, ROUND(CAST(promo AS DOUBLE) / NULLIF(CAST(total AS DOUBLE), 0) * 100, 4) AS pct FROM
+    (SELECT SUM({M('l_extendedprice')}) AS promo FROM {{lineitem}}, {{part}} WHERE l_partkey = p_partkey AND p_type LIKE 'PROMO%') a CROSS JOIN (SELECT SUM({M('l_extendedprice')}) AS total FROM {{lineitem}}) b""")
+text("star_min_of_groups", f"""WITH r AS (SELECT l_suppkey AS k, l_partkey AS p, SUM({M('l_extendedprice')}) AS rev FROM {{lineitem}} GROUP BY 1, 2), a AS (SELECT k, SUM(rev) AS s, COUNT(*) AS n FROM r GROUP BY k)
+    SELECT r.k, r.p, CAST(r.rev AS DOUBLE) AS rev FROM r JOIN a ON r.k = a.k WHERE CAST(r.rev AS DOUBLE) <= 0.1 * CAST(a.s AS DOUBLE) / a.n ORDER BY r.k, r.p LIMIT 100""")
+text("star_exists_after", """SELECT c_nationkey, c_mktsegment, COUNT(*) AS cnt1, MIN(c_acctbal) AS lo, MAX(c_acctbal) AS hi, COUNT(DISTINCT c_custkey) AS cnt2 FROM {customer} c WHERE EXISTS (SELECT 1 FROM {orders} WHERE c.c_custkey = o_custkey AND year(o_orderdate) = 1996)
+    AND (EXISTS (SELECT 1 FROM {events} WHERE c.c_custkey = user_id AND event_type = 'view') OR EXISTS (SELECT 1 FROM {orders} WHERE c.c_custkey = o_custkey AND o_orderpriority = '1-URGENT' AND o_totalprice > 450000))
+    GROUP BY c_nationkey, c_mktsegment ORDER BY c_nationkey, c_mktsegment LIMIT 100""")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -28,6 +30,12 @@ TPCH_SCHEMAS = {
     "supplier": _schema("s_suppkey:L s_name:S s_address:S s_nationkey:L s_phone:S s_acctbal:D s_comment:S"),
 }
 
+# fixed values: the tables of TPC-DS
+TPCDS_TABLES = tuple(
+    "call_center catalog_page catalog_returns catalog_sales customer customer_address customer_demographics date_dim household_demographics income_band inventory item "
+    "promotion reason ship_mode store store_returns store_sales time_dim warehouse web_page web_returns web_sales web_site".split()
+)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -68,7 +76,7 @@ def register_arrow(spark: SparkSession, name: str, data) -> DataFrame:
     return df
 
 
-def load_directory(spark: SparkSession, path: str, names: list[str], delimiter: str = ",") -> list[str]:
+def load_directory(spark: SparkSession, path: str, names: Iterable[str] = TPCDS_TABLES, delimiter: str = ",") -> list[str]:
     """Register ``<name>.csv`` or ``<name>.dat`` of a folder for each name that has such a file; returns those."""
     jvm = spark._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
