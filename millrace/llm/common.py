@@ -7,6 +7,7 @@ connected components.  Nothing here keeps state between queries.
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -37,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
         if found.isDefined():
             base = found.get()
         else:
-            if not spark.sparkContext.master.startswith("local"):
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="millrace-")
             spark.sparkContext.setCheckpointDir(base)
