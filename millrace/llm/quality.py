@@ -2,7 +2,8 @@
 
 Terms of a text are its pairs of byte classes, letters folded to a few
 classes of bytes (so that no topic or language is learnt), and how often it
-repeats its own words.  Term shares, square-rooted and weighted by inverse
+repeats its own words, next to each other, within windows of 400 words (the
+mean over all windows of the text) and over the whole text.  Term shares, square-rooted and weighted by inverse
 document frequency, are projected on the leading singular vectors of a sample
 of labelled texts (latent semantic analysis).  The sample's vectors and labels
 are broadcast; every document's cosine with every one of them is computed in
@@ -33,6 +34,7 @@ DIMENSIONS = 48
 NEIGHBOURS = 15
 THRESHOLD = 0.7
 BLOCK = 2048
+WINDOW = 400
 
 # byte classes: single classes for marks, a few for letters
 _CLASS = np.zeros(256, np.int64)
@@ -50,6 +52,19 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def freshness(words: np.ndarray) -> float:
+    """The share of distinct words in a window, as the mean over all consecutive windows; the last one ends with the text."""
+    n = len(words)
+    if n <= WINDOW:
+        return len(np.unique(words)) / n
+    full = n // WINDOW
+    rows = words[: full * WINDOW].reshape(full, WINDOW)
+    if n % WINDOW:
+        rows = np.concatenate([rows, words[None, n - WINDOW :]])
+    rows = np.sort(rows, axis=1)
+    return float(((rows[:, 1:] != rows[:, :-1]).sum(1) + 1).mean()) / WINDOW
+
+
 def terms(texts) -> np.ndarray:
     """Square roots of term shares, a row per text."""
     raw, at = common.column_bytes(texts)
@@ -68,7 +83,7 @@ def terms(texts) -> np.ndarray:
         w = words[w_at[i] : w_at[i + 1]]
         if len(w) > 1:
             same = float((w[1:] == w[:-1]).mean())
-            fresh = len(np.unique(w[:400])) / min(len(w), 400)
+            fresh = freshness(w)
             many = len(np.unique(w)) / len(w) ** 0.75
             out[i, n_pairs + min(_REPEATS - 1, int(same * _REPEATS))] = 0.2
             out[i, n_pairs + _REPEATS + min(_REPEATS - 1, int(min(fresh, many) * _REPEATS))] = 0.2

@@ -354,6 +354,19 @@ def test_quality_edges(spark):
     assert quality.score(frame(spark, []), None).count() == 0
 
 
+def test_quality_repetition_of_whole_texts():
+    """Repetition shows wherever it stands: behind 400 fresh words, and not in the opening alone."""
+    import numpy as np
+    import pyarrow as pa
+
+    fresh, filler = " ".join(f"u{i}" for i in range(4000)).split(), " ".join(f"f{i}" for i in range(10)).split()
+    texts = [" ".join(x) for x in (fresh[:1000], fresh[:400] + filler * 60, filler * 40 + fresh[:3600], filler * 100)]
+    at = quality.N_TERMS - quality._REPEATS
+    clean, late, early, all_ = (int(np.flatnonzero(r[at:])[0]) for r in quality.terms(pa.array(texts)))
+    assert all_ < late < early <= clean and late < clean // 2 and all_ == 0
+    assert quality.freshness(np.arange(1, 1001)) == 1.0 and quality.freshness(np.r_[np.arange(400), np.zeros(400)]) == (1 + 1 / 400) / 2
+
+
 def test_licences(spark):
     docs = [
         (1, "intro\nReleased under the MIT license!\nmore"), (2, "Licensed under the Apache License Version 2.0"), (3, None), (4, ""), (5, "License"), (6, LONG),
