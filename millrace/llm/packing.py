@@ -14,6 +14,9 @@ the whole programme is linear in the number of boundaries.  Windows whose
 length is a power of two need no padding; near the end of a block all
 positions are boundaries and such windows are tried as well.
 
+Ids are those that ``tokenizers`` gives with byte_bpe_50k.json at its default
+setting: a literal ``<|endoftext|>`` in a text is the added token of that file.
+
 Null and empty texts are documents of one id, the end mark.  Repeated rows
 are packed as often as they occur.  Long documents are cut, none is dropped.
 An empty table gives an empty result; other columns are ignored.
@@ -34,6 +37,8 @@ HARD_PENALTY = 16.0
 SENTENCE_SPACING = 8
 HARD_SPACING = 32
 BLOCK_TOKENS = 1 << 20
+#: The added tokens of byte_bpe_50k.json, which its ranks file lacks.
+ADDED = {"<|endoftext|>": 50256}
 _CODERS: dict = {}
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -46,8 +51,18 @@ def vocabulary() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+class Coder:
+    """Ids of byte_bpe_50k.json with that file's added tokens, as its tokenizer gives them at its default setting."""
+
+    def __init__(self, encoding):
+        self.encoding, self.added = encoding, encoding.special_tokens_set
+
+    def encode_ordinary(self, text: str) -> list[int]:
+        return self.encoding.encode(text, allowed_special=self.added, disallowed_special=())
+
+
 def coder(path: str | None = None):
-    """(encoding, whether an id ends a sentence), one per worker."""
+    """(coder, whether an id ends a sentence), one per worker."""
     import base64
 
     import public_tokenizers
@@ -57,11 +72,12 @@ def coder(path: str | None = None):
     if path not in _CODERS:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        ends = np.zeros(max(ranks.values()) + 2, bool)
+        added = ADDED if path == vocabulary() else {}
+        ends = np.zeros(max(*ranks.values(), *added.values()) + 1, bool)
         for token, rank in ranks.items():
             ends[rank] = token.rstrip(b"\"')").endswith((b".", b"!", b"?")) or b"\n" in token
         ends[END_ID] = False
-        _CODERS[path] = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), ends
+        _CODERS[path] = Coder(tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)), ends
     return _CODERS[path]
 
 

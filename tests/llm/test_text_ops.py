@@ -269,6 +269,24 @@ def test_packing_edges(spark):
     assert packing.pack(frame(spark, [(None, "a"), (1, "b"), (1, "b")])).count() == 3
 
 
+def test_packing_takes_the_tokenizers_ids(spark, small_docs):
+    """The JSON tokenizer at its default setting, which knows an added token, on all texts and on those that hold its literal."""
+    from tokenizers import Tokenizer
+
+    import numpy as np
+    import public_tokenizers
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    mark = "<|endoftext|>"
+    docs = [*small_docs, *EDGE, *((10_000_000 + k, x) for k, x in enumerate([
+        f"a {mark} b", mark, mark * 3, f"{mark}\n{mark} x", f"x{mark}y", f"Ends.{mark}Starts", "<|endoftext|", "<|ENDOFTEXT|>", f"é{mark}é  {mark}  ", "<|fim|>",
+    ]))]
+    docs = list(dict(docs).items())
+    ids = {i: np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], "<u4") for i, x in docs}
+    assert ids[10_000_000].tolist() == [64, 220, 50256, 275, 1]
+    check_pieces(packing.pack(frame(spark, docs)).collect(), ids, 0.02)
+
+
 def test_packing_is_optimal():
     """The monotone queue finds the cost of the plain quadratic programme."""
     import numpy as np
