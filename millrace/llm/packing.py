@@ -34,7 +34,6 @@ LENGTH = 2048
 END_ID = 1
 SENTENCE_PENALTY = 1.0
 HARD_PENALTY = 16.0
-SENTENCE_SPACING = 8
 HARD_SPACING = 32
 BLOCK_TOKENS = 1 << 20
 #: The added tokens of byte_bpe_50k.json, which its ranks file lacks.
@@ -85,8 +84,6 @@ def boundaries(ids: np.ndarray, doc_ends: np.ndarray, sentence_end: np.ndarray,
     """Allowed cuts of a block of ids, first 0, last its end, and their penalties."""
     n = len(ids)
     sentences = np.flatnonzero(sentence_end[ids]) + 1
-    if len(sentences):  # thinned: one for each stretch of SENTENCE_SPACING ids
-        sentences = sentences[np.r_[True, np.diff(sentences // SENTENCE_SPACING) > 0]]
     tail = np.arange(max(0, n - 2 * length), n)
     soft = np.union1d(np.union1d(sentences, doc_ends), [0, n])
     cuts = np.unique(np.concatenate([soft, tail, np.arange(0, n, HARD_SPACING)])).astype(np.int64)

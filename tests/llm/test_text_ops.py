@@ -287,6 +287,15 @@ def test_packing_takes_the_tokenizers_ids(spark, small_docs):
     check_pieces(packing.pack(frame(spark, docs)).collect(), ids, 0.02)
 
 
+def test_packing_may_cut_at_every_sentence_end():
+    import numpy as np
+
+    ids = np.resize([0, 0, 1], 9000)
+    cuts, penalty = packing.boundaries(ids, np.array([4000, 9000]), np.array([False, True]), 64)
+    assert set(range(3, 9000, 3)) <= set(cuts[penalty == packing.SENTENCE_PENALTY].tolist()) | {9000}
+    assert set(cuts[penalty == 0].tolist()) == {4000, 9000}
+
+
 def test_packing_is_optimal():
     """The monotone queue finds the cost of the plain quadratic programme."""
     import numpy as np
