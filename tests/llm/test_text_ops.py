@@ -408,6 +408,34 @@ def test_licences(spark):
     assert licences.scan(frame(spark, docs)).count() == 9 and licences.scan(frame(spark, [])).count() == 0
 
 
+def test_licences_across_lines(spark):
+    """Notices wrapped over lines, behind prose and within full licence texts."""
+    import textwrap
+
+    by_name = {}
+    for name, text in licences.TEMPLATES:
+        by_name[name] = max(by_name.get(name, ""), text, key=len)
+    mit = by_name["MIT"][:-1] + (
+        ", including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
+        "persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be "
+        "included in all copies or substantial portions of the Software.")
+    bsd = by_name["BSD-3-Clause"] + "\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+    apache = "Copyright 2020 Someone\n\n" + by_name["Apache-2.0"] + " You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0"
+    head = " ".join(t for n, t in licences.PASSAGES if n == "GPL-3.0")
+    full = {10: ("MIT", mit), 20: ("BSD-3-Clause", bsd), 30: ("Apache-2.0", apache), 40: ("GPL-3.0", by_name["GPL-3.0"]), 50: ("GPL-3.0", head + " Preamble " + words(300, 4))}
+    wrap = lambda t, n: "\n".join(" * " + y for x in t.split("\n") for y in textwrap.wrap(x, n) or [""])
+    docs = [(i + k, x) for i, (_, t) in full.items() for k, x in enumerate((t, wrap(t, 70), words(50, i) + "\n" + wrap(t, 40) + "\n" + words(50, i + 1)))]
+    docs += [(1, "We like it a lot. Released under the MIT License."), (2, words(900, 6)), (3, "the software license of the public work"), (4, None),
+             (5, "Released under the MIT License.\n" + wrap(by_name["GPL-3.0"], 60) + "\nmore")]
+    got = {r.doc_id: r for r in licences.scan(frame(spark, docs)).collect()}
+    for i, (name, _) in full.items():
+        assert all(got[i + k].licences == got[i + k].best_licence == name and got[i + k].best_dice > (0.95 if k else 0.8) for k in range(3)), name
+        assert got[i].n_licence_lines == 1 < got[i + 1].n_licence_lines < got[i + 2].n_licence_lines
+    assert (got[1].licences, got[1].n_licence_lines, got[1].best_dice) == ("MIT", 1, 1.0)
+    assert got[5].licences == "GPL-3.0,MIT" and got[5].n_licence_lines == 1 + len(textwrap.wrap(by_name["GPL-3.0"], 60))
+    assert all(got[i].n_licence_lines == 0 and got[i].best_licence is None for i in (2, 3, 4))
+
+
 @pytest.mark.parametrize("key", sorted(queries.ORACLES))
 def test_oracles(spark, small, duck, key):
     from compare import same_rows
