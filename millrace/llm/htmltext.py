@@ -4,7 +4,7 @@ A tolerant parser builds the element tree.  Paragraphs give points for their
 length and commas to the elements above them (all to the parent, half to the
 grandparent, less further up); an element's points are discounted by its link
 density.  The best element and those of its siblings that look like text are
-kept, without menus, headers, footers, sidebars, notices, adverts, forms,
+kept, or the whole article or main element around it, without menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles and reader comments.
 
 Null or empty html, and pages without text, give an empty text.  Broken
@@ -181,6 +181,11 @@ def kept(root: Node) -> list[Node]:
     best = max(every, key=lambda n: (n.points, -len(n.kids)))
     if best.points <= 0:
         best = next((n for n in every if n.tag in ("article", "main")), None) or next((n for n in every if n.tag == "body"), root)
+    whole = best
+    while whole is not None and whole.tag not in ("article", "main"):
+        whole = whole.up
+    if whole is not None and whole is not best:
+        return [whole]
     if best.up is None or best.tag in ("body", "html"):
         return [best]
     least, out = max(10.0, 0.2 * best.points), []

@@ -109,3 +109,13 @@ def test_vector_edges(spark):
     assert itq.dedup(df.limit(0)).count() == 0
     none = spark.createDataFrame([(None, [1.0] * 8), (5, [1.0] * 8), (None, None)], "vec_id long, embedding array<float>")
     assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0) for r in itq.dedup(none).collect()) == [(0, 0, 0), (0, 1, 5), (5, 1, 5)]
+
+
+def test_whole_article_around_the_best_container():
+    from millrace.llm.htmltext import main_text
+
+    p = lambda k: f"<p>Paragraph {k} of the text, with commas, and enough words to count as one of its own here.</p>"
+    page = "<body><nav><a href=x>Menu</a></nav><article><div>" + "".join(map(p, range(10))) + "</div><section>" + "".join(map(p, range(10, 13)))
+    page += "</section><ul><li>First point</li><li>Second point</li></ul><div class=share>Share this</div><p>Short close.</p></article><footer>Foot</footer></body>"
+    got = main_text(page).split("\n")
+    assert [x.split()[1] for x in got[:13]] == [str(k) for k in range(13)] and got[13:] == ["First point", "Second point", "Short close."]
