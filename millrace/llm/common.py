@@ -123,7 +123,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_KNOWN_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
+    """The first n powers modulo 2**64; those of a batch's size are kept for the next one."""
+    known = _KNOWN_POWERS.get(base)
+    if known is not None and len(known) >= n:
+        return known[:n]
     out = np.empty(n, np.uint64)
     out[:1] = 1
     filled, step = min(n, 1), base
@@ -132,6 +139,8 @@ def _powers(base: int, n: int) -> np.ndarray:
         out[filled : filled + take] = out[:take] * np.uint64(step)
         filled += take
         step = step * step % (1 << 64)
+    if n <= 4 << 20:
+        _KNOWN_POWERS[base] = out
     return out
 
 

@@ -110,6 +110,56 @@ def test_substrings_random(spark, seed, monkeypatch):
     assert substring_rows(substrings.dedup(frame(spark, docs))) == brute.substring_dedup(docs)
 
 
+def test_substrings_of_rows_that_share_an_id(spark):
+    """Other texts under one id are documents of their own; equal rows are one document."""
+    a, b = words(60, 1), words(60, 2)
+    docs = [(1, a), (2, a), (2, b), (2, b), (3, b[:300]), (None, words(60, 3)), (None, words(60, 4)), (None, a[:200] + "x")]
+    got = sorted(((r.doc_id or 0, r.n_bytes, bytes(r.kept)) for r in substrings.dedup(frame(spark, docs)).collect()))
+    whole = lambda i, t: (i, len(t), t.encode())
+    assert whole(2, b) in got and got.count(whole(2, b)) == 2 and (2, len(a), b"") in got and (3, 300, b"") in got
+    assert {whole(0, words(60, 3)), whole(0, words(60, 4)), whole(0, a[:200] + "x")} <= set(got)
+    assert (1, len(a), a[200:].encode()) in got
+
+
+def test_substrings_of_a_long_document(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "SEGMENT", 1 << 14)
+    docs = [(1, LONG), (2, "x" + LONG[1000:90_000] + "y"), (3, LONG[50_000:50_099] + LONG[-100:]), (4, LONG[:300] * 40)]
+    assert substring_rows(substrings.dedup(frame(spark, docs))) == brute.substring_dedup(docs)
+
+
+def test_substrings_of_a_passage_in_many_contexts(spark, monkeypatch):
+    """A hot passage: its surroundings go to other buckets, and several buckets of a task follow one another."""
+    passage = words(50, 99)
+    docs = [(i, words(30, 1000 + i) + " " + passage + " " + words(30, 5000 + i)) for i in range(2000)]
+    frequent = substrings.frequent_grams(frame(spark, docs))
+    assert len(passage) // 2 < len(frequent) < 2000
+    import numpy as np
+
+    def hottest(some):
+        at = np.cumsum([0, *(len(t) for _, t in docs)])
+        raw = np.frombuffer("".join(t for _, t in docs).encode(), np.uint8)
+        _, count, sample, _, content = substrings.pieces_of(raw, at, frequent=substrings.Frequent(some))
+        return np.unique(np.unique(np.c_[sample, content], axis=0)[:, 0], return_counts=True)[1].max()
+
+    assert hottest(frequent) < 300 < hottest(frequent[:0])
+    for name, value in (("BUCKET_BYTES", 20_000), ("MAX_PARTS", 2), ("CHUNK_BYTES", 200_000)):
+        monkeypatch.setattr(substrings, name, value)
+    assert substring_rows(substrings.dedup(frame(spark, docs))) == brute.substring_dedup(docs)
+
+
+def test_bytes_are_sorted_as_bytes():
+    import numpy as np
+
+    r = np.random.default_rng(0)
+    raw = r.integers(0, 3, 3000).astype(np.uint8) * 100
+    raw[1000:1500] = raw[:500]
+    for depth in (3, 8, 31, 69, 100):
+        at = r.permutation(2900)
+        order, head = substrings.sort_by_bytes(substrings.byte_words(raw), at, depth)
+        strings = [raw[k : k + depth].tobytes() for k in at[order]]
+        assert strings == sorted(strings) and head.tolist() == [k == 0 or strings[k] != strings[k - 1] for k in range(len(strings))]
+
+
 def test_difference_covers():
     for length in (6, 14, 62, 100):
         v, cover, shifts = substrings.cover_for(length)
