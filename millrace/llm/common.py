@@ -13,7 +13,7 @@ import time
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space of the word definition ``[^\\x20\\x09-\\x0D]+``.
@@ -104,6 +104,62 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return int(docs.agg(F.sum(F.octet_length(column))).first()[0] or 0)
 
 
+#: The id that stands for a null one; it comes first.
+NULL_ID = -(2**63)
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """``docs`` (columns doc_id, text and others) with id, ta and tb, which tell apart rows whose id or text differs.
+
+    id is the doc_id (NULL_ID for null).  The tags are a 128-bit hash of the text where rows share an id but not the
+    text, and 0 elsewhere, so that they cost nothing in most tables.
+    """
+    rows = docs.withColumn("id", F.coalesce("doc_id", F.lit(NULL_ID)))
+    a, b = F.xxhash64("text"), F.xxhash64(F.lit(1), "text")
+    tags = rows.select("id", a.alias("a"), b.alias("b"))
+    shared = tags.groupBy("id").agg(F.min("a").alias("a1"), F.max("a").alias("a2"), F.min("b").alias("b1"), F.max("b").alias("b2"))
+    # written, so that the plan knows its size: mostly it is empty, and broadcast if small
+    shared = materialize(shared.where("a1 <> a2 or b1 <> b2").select("id", F.lit(True).alias("shared")))
+    rows = rows.join(shared, "id", "left")
+    return rows.withColumn("ta", F.when(F.col("shared"), a).otherwise(F.lit(0))).withColumn("tb", F.when(F.col("shared"), b).otherwise(F.lit(0))).drop("shared")
+
+
+def met(big: DataFrame, small: DataFrame, keys: list[str], total: int, rows: str = "rows") -> DataFrame:
+    """Inner join of ``big`` with ``small``, which has one row for each of the keys and, in ``rows``, how many rows of ``big`` have it.
+
+    Keys with more than a bounded share of the ``total`` rows are salted, so
+    that no task gets all of one.  At most 100 000 keys can have that many;
+    they are broadcast.
+    """
+    most = max(64, -(-total // 100_000))
+    salts = F.floor(F.col(rows) / most).cast("int")
+    hot = F.broadcast(small.where(F.col(rows) > most).select(*keys, salts.alias("salts")))
+    others = [c for c in big.columns if c not in keys]
+    big = big.join(hot, keys, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(*(others or keys)), F.col("salts") + 1), F.lit(0)).cast("int")).drop("salts")
+    small = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col(rows) > most, salts).otherwise(0)))).drop(rows)
+    return big.join(small.hint("merge"), [*keys, "salt"]).drop("salt")
+
+
+def running(df: DataFrame, by: list[str], at: str, value: str, out: str, group: int = 1024) -> DataFrame:
+    """``df`` (one row for each of ``by`` and ``at``, a small whole number) with the sum of ``value`` before it, in the order of ``at``.
+
+    Sums of groups of ``at`` first, then within each, so that no task gets all rows of one key.
+    """
+    df = df.withColumn("__g", F.expr(f"`{at}` div {group}"))
+    coarse = df.groupBy(*by, "__g").agg(F.sum(value).alias("__n"))
+    coarse = coarse.withColumn("__b", F.sum("__n").over(Window.partitionBy(*by).orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)))
+    inner = F.sum(value).over(Window.partitionBy(*by, "__g").orderBy(at).rowsBetween(Window.unboundedPreceding, -1))
+    df = df.withColumn("__i", inner).join(coarse.drop("__n"), [*by, "__g"])
+    return df.withColumn(out, F.coalesce("__b", F.lit(0)) + F.coalesce("__i", F.lit(0))).drop("__g", "__b", "__i")
+
+
+def row_hashes(df: DataFrame) -> tuple:
+    """A 128-bit hash of a whole row (but maps, which have none), as two columns."""
+    cols = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    cols += [c.isNull() for c in cols]
+    return F.xxhash64(F.lit(0), *cols), F.xxhash64(F.lit(1), *cols)
+
+
 # -- words and shingles of many texts at once ---------------------------------
 
 _LOWER = np.arange(256, dtype=np.uint8)

@@ -21,7 +21,8 @@ select d.doc_id, d.n::bigint as n_bytes, coalesce(removed, 0)::bigint as n_remov
     sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) as kept_sha256
 from d left join k using (doc_id)"""
 
-#: op3: first lines, then all pairs that share a first or last word and differ by one word at most in number.
+#: op3: first lines, then all pairs that share a first or last word and differ by one word at most in number; of lines of
+#: fewer than 8 words, all pairs that are equal without one character.
 LINES = """
 with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls, coalesce(text, '') as text from documents),
 l as (select doc_id, generate_subscripts(ls, 1) - 1 as k, unnest(ls) as x from d),
@@ -31,7 +32,11 @@ w as (select x, fd, fk, string_split(x, ' ') as w, len(string_split(x, ' ')) as
 p as (select a.x as ax, b.x as bx, a.w as aw, b.w as bw, a.n as an, b.n as bn, (a.fd, a.fk) > (b.fd, b.fk) as later from w a join w b on a.w[1] = b.w[1] and a.x <> b.x and b.n in (a.n, a.n + 1)
       union all select a.x, b.x, a.w, b.w, a.n, b.n, (a.fd, a.fk) > (b.fd, b.fk) from w a join w b on a.w[a.n] = b.w[b.n] and a.w[1] <> b.w[1] and b.n in (a.n, a.n + 1)),
 m as (select *, coalesce(list_position(list_transform(list_zip(aw, bw[1:an]), lambda z: z[1] <> z[2]), true), an + 1) as pos from p),
-near as (select distinct case when later then ax else bx end as x from m where case when an = bn then aw[pos + 1:an] = bw[pos + 1:bn] else aw[pos:an] = bw[pos + 1:bn] end),
+short as (select x, fd, fk, length(x) as n from f where len(string_split(x, ' ')) < 8 and length(x) >= 16),
+v as (select x, fd, fk, i, substr(x, 1, i - 1) || substr(x, i + 1) as less from (select *, unnest(range(1, n + 1)) as i from short) t),
+near as (select distinct case when later then ax else bx end as x from m where case when an = bn then aw[pos + 1:an] = bw[pos + 1:bn] else aw[pos:an] = bw[pos + 1:bn] end
+      union select case when (a.fd, a.fk) > (b.fd, b.fk) then a.x else b.x end from v a join v b on a.less = b.less and a.i = b.i and a.x <> b.x
+      union select case when (a.fd, a.fk) > (b.fd, b.fk) then a.x else b.x end from v a join short b on a.less = b.x),
 kept as (select l.doc_id, l.k, l.x from l left join f on l.x = f.x left join near on l.x = near.x
          where f.x is null or (near.x is null and (f.fd, f.fk) = (l.doc_id, l.k))),
 t as (select doc_id, count(*) as n, string_agg(x, chr(10) order by k) as text from kept group by doc_id)

@@ -71,21 +71,28 @@ def within_one(a, b):
     return a[k:] == b[k + 1 :]
 
 
-def line_dedup(docs, min_words=8):
-    """doc_id -> kept text."""
-    first, out = {}, {}
-    for i, t in sorted(docs):
+def units(x, min_words=8, min_chars=16):
+    """(kind, words or characters) of a line that may have near copies, or none."""
+    w = x.split(" ")
+    return ("words", w) if len(w) >= min_words else ("chars", list(x)) if len(x) >= min_chars else None
+
+
+def line_dedup(docs, min_words=8, min_chars=16):
+    """Kept texts, row by row; rows of one id and text are one document, others of one id follow one another."""
+    first, rows = {}, list(docs)
+    for i, t in sorted(set(rows), key=lambda r: (r[0] is not None, r[0], r[1] or "")):
         for k, x in enumerate((t or "").split("\n")):
             if x.strip(" \t\r\x0b\x0c"):
-                first.setdefault(x, (i, k))
-    long = [(x, x.split(" ")) for x in first]
-    long = [(x, w) for x, w in long if len(w) >= min_words]
+                first.setdefault(x, (len(first), i, t, k))
+    some = [(x, units(x, min_words, min_chars)) for x in first]
+    some = [(x, *u) for x, u in some if u]
     near = set()
-    for a, (x, w) in enumerate(long):
-        for y, v in long[:a]:
-            if abs(len(w) - len(v)) <= 1 and within_one(w, v):
+    for a, (x, kind, w) in enumerate(some):
+        for y, other, v in some[:a]:
+            if kind == other and abs(len(w) - len(v)) <= 1 and within_one(w, v):
                 near.add(x if first[x] > first[y] else y)
-    for i, t in docs:
+    out = []
+    for i, t in rows:
         lines = (t or "").split("\n")
-        out[i] = "\n".join(x for k, x in enumerate(lines) if not x.strip(" \t\r\x0b\x0c") or (x not in near and first[x] == (i, k)))
+        out.append("\n".join(x for k, x in enumerate(lines) if not x.strip(" \t\r\x0b\x0c") or (x not in near and first[x][1:] == (i, t, k))))
     return out

@@ -203,15 +203,19 @@ def line_texts(df):
     return {r.doc_id: r.text or "" for r in df.collect()}
 
 
+def brute_lines(docs):
+    return dict(zip((i for i, _ in docs), brute.line_dedup(docs)))
+
+
 def test_lines_edges_and_near_copies(spark):
     base = words(12, 7).split()
-    docs = EDGE[:10] + EDGE[12:] + [
+    docs = EDGE + [
         (30, " ".join(base)), (31, " ".join([*base[:3], "new", *base[3:]])), (32, " ".join(base[:-1])), (33, " ".join([*base[:5], "x", *base[6:]])),
         (34, " ".join([*base[:5], "y", *base[6:]]) + "\n\n  \nrest"), (35, " ".join([base[1], base[0], *base[2:]])), (36, "short line here"), (37, "short line there"),
         (38, "short line here"),
     ]
     got = lines.dedup(frame(spark, docs))
-    assert line_texts(got) == brute.line_dedup(docs)
+    assert line_texts(got) == brute_lines(docs)
     assert got.columns[:7] == [c.split()[0] for c in SCHEMA.split(", ")]
     assert lines.dedup(frame(spark, [])).count() == 0
     twice = lines.dedup(frame(spark, [(1, "same text"), (1, "same text"), (None, "same text")])).collect()
@@ -230,7 +234,43 @@ def test_lines_random(spark):
             known.append(w)
             out.append(" ".join(w))
         docs.append((i, "\n".join(out)))
-    assert line_texts(lines.dedup(frame(spark, docs))) == brute.line_dedup(docs)
+    assert line_texts(lines.dedup(frame(spark, docs))) == brute_lines(docs)
+
+
+def test_lines_near_copies_of_short_lines(spark):
+    """Less than eight words: one character; words that join or part change the kind of a line's units."""
+    docs = [(1, "The quick brown foxes\nPage 1\nPage 2"), (2, "The quick brown fox\nThe quick brown foxed"), (3, "The quick brawn foxed\nThequick brown foxes"), (4, "Übergrößen für alle da\nUbergrößen für alle da"),
+            (5, "a b c d e f g h i j k l m n o p\nabcdefghijklmnop"), (6, "abcdefghijklmnopq\nzabcdefghijklmnop\nacdefghijklmnop\nbacdefghijklmnop")]
+    got = line_texts(lines.dedup(frame(spark, docs)))
+    assert got == brute_lines(docs)
+    assert got[1] == docs[0][1] and got[2] == "The quick brown fox" and got[3] == "" and got[4] == "Übergrößen für alle da"
+
+
+def test_lines_of_rows_that_share_an_id(spark):
+    """A line goes from the document it was found in, not from another one of that id."""
+    docs = [(1, "shared line\nonly in one"), (2, "other line\nshared line\nrow A holds this"), (2, "shared line\nquite another text of B"), (2, "shared line\nquite another text of B"),
+            *((None, "line " + words(5, 700 + i)) for i in range(30)), (None, "shared line")]
+    got = sorted((r.doc_id or 0, r.text) for r in lines.dedup(frame(spark, docs)).collect())
+    assert (2, "other line\nrow A holds this") in got and got.count((2, "quite another text of B")) == 2 and (1, "only in one") in got
+    assert len([t for i, t in got if not i and t.startswith("line ")]) == 30 and (0, "shared line") in got
+
+
+def test_lines_of_other_columns(spark):
+    """Names with dots, and names that the operator uses itself, are passed on."""
+    names = ["doc_id", "a.b", "n_chars", "text", "id", "row", "did", "words", "n_lines", "ta"]
+    df = spark.createDataFrame([(1, "x", 7, "same line\nsame line", 2, "r", 3, "w", 99, 5), (2, None, None, None, None, None, None, None, None, None)],
+                               "doc_id long, `a.b` string, n_chars long, text string, id int, row string, did int, words string, n_lines int, ta int")
+    got = sorted(tuple(r) for r in lines.rewritten(df).collect())
+    assert got[0] == (1, "x", 7, "same line", 2, "r", 3, "w", 99, 5) and got[1] == (2, *[None] * 9) and lines.rewritten(df).columns == names
+    assert [r.n_chars for r in lines.rewritten(df, length_column="n_chars").orderBy("doc_id").collect()] == [9, None]
+    assert lines.dedup(df).columns == [n for n in names if n != "n_lines"] + ["n_lines", "n_removed"]
+
+
+def test_lines_hot_line(spark, monkeypatch):
+    """A line with very many copies is dealt to several tasks."""
+    docs = [(i, f"boilerplate at the top\n{words(9, i)}\nboilerplate at the top") for i in range(3000)]
+    got = line_texts(lines.dedup(frame(spark, docs)))
+    assert got[0] == f"boilerplate at the top\n{words(9, 0)}" and all(got[i] == words(9, i) for i in range(1, 3000))
 
 
 def test_lines_plan_is_native(spark, small):
@@ -337,6 +377,21 @@ def test_packing_takes_the_tokenizers_ids(spark, small_docs):
     check_pieces(packing.pack(frame(spark, docs)).collect(), ids, 0.02)
 
 
+def test_packing_of_long_white_space(spark):
+    """Millions of spaces, line breaks and wide spaces: the ids of the JSON tokenizer."""
+    from tokenizers import Tokenizer
+
+    import numpy as np
+    import public_tokenizers
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    mark, n = "<|endoftext|>", packing.LONG_SPACE
+    texts = ["a" + " " * 2_000_000 + "b", " " * 2_000_000, "\n" * 1_100_000 + "x", "é" + "\u3000" * n + "\ty", "x" + " " * n + mark + " " * n + "\n1", " " * (n - 1) + "z", "a" + "\x1c" * n + " b"]
+    docs = list(enumerate(texts))
+    ids = {i: np.array([*t.encode(x, add_special_tokens=False).ids, 1], "<u4") for i, x in docs}
+    check_pieces(packing.pack(frame(spark, docs)).collect(), ids, 0.02)
+
+
 def test_packing_may_cut_at_every_sentence_end():
     import numpy as np
 
@@ -382,6 +437,79 @@ def test_mixing(spark, small):
     assert abs(sum(t[2] for t in totals.values()) - sum(t[0] for t in totals.values())) < 1e-6
 
 
+def test_mixing_draws():
+    """Multinomial counts, and slots beyond a source's number given to sources that lack some."""
+    import numpy as np
+
+    share, n = [0.5, 0.3, 0.2], 4000
+    got = np.array([mixing.shard_counts(s, n * 1000 - 100, share, 1000, 9) for s in range(n)])
+    assert (got.sum(1)[:-1] == 1000).all() and got[-1].sum() == 900
+    # means and variances of a multinomial draw: n p and n p (1 - p); a draw without replacement would have less
+    want = np.array(share) * 1000
+    assert (np.abs(got[:-1].mean(0) - want) < 0.5).all() and (np.abs(got[:-1].var(0) / (want * (1 - np.array(share))) - 1) < 0.1).all()
+    drawn, slots = got[:50].sum(0), np.array([26_000, 14_000, 10_000])
+    runs, at = [], np.zeros(3, int)
+    for row in got[:50]:
+        for k in range(3):
+            runs.append((at[k], row[k], k))
+            at[k] += row[k]
+    first, count, k = (np.array(x) for x in zip(*runs))
+    out = mixing.corrected(first, count, k, drawn, slots)
+    taken = [sorted(x for _, s, f, c in out if s == j for x in range(f, f + c)) for j in range(3)]
+    assert [t == list(range(int(slots[j]))) for j, t in enumerate(taken)] == [True] * 3
+    per_run = np.bincount([r for r, _, _, c in out], weights=[c for *_, c in out], minlength=len(runs))
+    assert (per_run == count).all()
+
+
+def test_mixing_blocks_by_brute_force(spark, monkeypatch):
+    """Every slot of the mix, built again from the counts and permutations."""
+    import numpy as np
+
+    monkeypatch.setattr(mixing, "BUCKET_DOCS", 5)
+    docs = [(i, words(3 + i * 7 % 50, i), "abc"[i * i % 3]) for i in range(60)]
+    df = frame(spark, docs)
+    out, pieces = mixing.mix(df, block_words=8, shard_slots=16)
+    rows, sizes = {r.doc_id: r for r in out.collect()}, {}
+    for i, t, s in docs:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    names = sorted(sizes)
+    targets = mixing.water_fill([sizes[s] for s in names], [5.0, 2.0, 1.0])
+    got = {}
+    for p in pieces.collect():
+        got.setdefault((p.k, p.slot), []).append(p)
+    for k, s in enumerate(names):
+        n = -(-sizes[s] // 8)
+        slots = min(3 * n, round(targets[k] / (sizes[s] / n)))
+        assert sorted(x for j, x in got if j == k) == list(range(slots))
+        blocks = {}
+        for x in range(slots):
+            index = int(mixing.permute(np.array([x % n]), np.array([n]), np.array([9 * 1_000_003 + k * 1009 + x // n]))[0])
+            piece = sorted((p.row_key, p.start, p.words) for p in got[k, x])
+            assert blocks.setdefault(index, piece) == piece  # a block is the same in every pass
+            assert piece[0][0] + piece[0][1] == index * 8 and sum(p[2] for p in piece) == min(8, sizes[s] - index * 8)
+    shards = {}
+    for (k, x), ps in got.items():
+        assert len({p.shard for p in ps}) == 1
+        shards[ps[0].shard] = shards.get(ps[0].shard, 0) + 1
+    assert sorted(shards.values())[1:] == [16] * (len(shards) - 1)
+    assert {i: r.taken for i, r in rows.items()} == {i: sum(p.words for ps in got.values() for p in ps if p.doc_id == i) for i in rows}
+
+
+def test_mixing_of_equal_and_nameless_rows(spark):
+    """Null ids, rows that share an id and equal rows are documents of their own; no column but three is needed."""
+    docs = [(None, words(40, 1), "a"), (None, words(40, 2), "a"), (3, words(30, 3), "b"), (3, words(30, 3), "b"), (3, words(20, 4), "b"), (None, words(40, 1), "a")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    out, pieces = mixing.mix(df, block_words=4)
+    rows = out.collect()
+    assert len(rows) == 6
+    texts = mixing.mixed_documents(df, pieces).collect()
+    assert len(texts) == sum(r.taken > 0 for r in rows) and sum(len(r.text.split()) for r in texts) == sum(r.taken for r in rows)
+    size = lambda rows, f: sorted((r.doc_id or 0, f(r)) for r in rows)
+    assert size(texts, lambda r: len(r.text.split())) == size([r for r in rows if r.taken], lambda r: r.taken)
+    with pytest.raises(Exception, match="other documents"):
+        mixing.mixed_documents(df, pieces.withColumn("words", F.col("words") + 100)).collect()
+
+
 def test_mixing_edges(spark):
     docs = [(1, None, "a"), (2, " ", "b"), (3, words(500, 1), None), (4, words(3000, 2), "b"), (5, words(3000, 2), "b"), (6, "x", "é"), (7, words(100, 3), "Z")]
     out, pieces = mixing.mix(frame(spark, docs))
