@@ -17,13 +17,15 @@ positions are boundaries and such windows are tried as well.
 Ids are those that ``tokenizers`` gives with byte_bpe_50k.json at its default
 setting: a literal ``<|endoftext|>`` in a text is the added token of that file.
 
-Null and empty texts are documents of one id, the end mark.  Repeated rows
-are packed as often as they occur.  Long documents are cut, none is dropped.
+Null and empty texts are documents of one id, the end mark.  Rows of a null
+doc_id are documents with that id.  Repeated rows are packed as often as they
+occur.  Long documents are cut, none is dropped.
 An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import deque
 
@@ -39,6 +41,9 @@ BLOCK_TOKENS = 1 << 20
 #: The added tokens of byte_bpe_50k.json, which its ranks file lacks.
 ADDED = {"<|endoftext|>": 50256}
 _CODERS: dict = {}
+#: White space of this many characters is encoded by itself.
+LONG_SPACE = 100_000
+WIDE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_SPACE)
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -55,10 +60,30 @@ class Coder:
 
     def __init__(self, encoding):
         self.encoding, self.added = encoding, encoding.special_tokens_set
+        self.ends = re.compile("|".join(map(re.escape, self.added)) or "(?!)")
 
-    def encode_ordinary(self, text: str) -> list[int]:
+    def _encode(self, text: str) -> list[int]:
         return self.encoding.encode(text, allowed_special=self.added, disallowed_special=())
 
+    def encode_ordinary(self, text: str) -> list[int]:
+        """The ids of a text.
+
+        The pattern that parts words looks for the end of white space by
+        backtracking, which fails on a run of a million.  Of such a run all
+        but the last character before a word are one part, so it is encoded as
+        such.
+        """
+        if len(text) < LONG_SPACE:
+            return self._encode(text)
+        out, at = [], 0
+        for m in WIDE.finditer(text):
+            a, z = m.span()
+            if z < len(text) and not self.ends.match(text, z):
+                z -= 1
+            out += self._encode(text[at:a]) + self.encoding._encode_single_piece(text[a:z])
+            at = z
+        return out + self._encode(text[at:])
+
 
 def coder(path: str | None = None):
     """(coder, whether an id ends a sentence), one per worker."""
