@@ -4,13 +4,16 @@ A tolerant parser builds the element tree.  Paragraphs give points for their
 length and commas to the elements above them (all to the parent, half to the
 grandparent, less further up); an element's points are discounted by its link
 density.  The best element and those of its siblings that look like text are
-kept, or the whole article or main element around it, without menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments.
+kept, or the whole article or main element around it, without menus, page
+headers, footers, sidebars, notices, adverts, forms, scripts, styles and
+reader comments.  An element is of these by its tag, its role, or a class name
+that says so and nothing else ("social-links", not "social-history").
 
 Null or empty html, and pages without text, give an empty text.  Broken
 markup never fails: unclosed elements end with their parent, end tags without
-a start are skipped.  Long pages are read whole.  Repeated rows are rows of
-their own; an empty table gives an empty result; other columns are ignored.
+a start are skipped.  Long and deeply nested pages are read whole.  Repeated rows are rows of
+their own, also those of a null page_id or url; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,39 +37,66 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 ENDS_P = BLOCK - frozenset("body html caption legend".split())
-SAME_ENDS = {
-    "li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}),
-    "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
-    "option": ({"option"}, {"select"}),
-}
-NOISE = re.compile(
-    r"(?:^|[-_\s])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|comments?|commentlist|disqus|replies|cookies?|consent|gdpr|"
-    r"notice|alert|menu|nav\w*|breadcrumbs?|sidebar|side|footer|foot|header|masthead|share|sharing|social|related|recommended|"
-    r"newsletter|subscribe|signup|login|popup|modal|overlay|widget|pagination|pager|toolbar|skip|hidden)(?:$|[-_\s\d])",
-    re.I,
+# tags that end open elements of a family, up to the nearest element of a scope
+FAMILIES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+SAME_ENDS = {"li": "li", "dd": "dt", "dt": "dt", "tr": "tr", "td": "td", "th": "td", "option": "option"}
+ENDED = frozenset().union(*(a for a, _ in FAMILIES.values()))
+SCOPES = frozenset().union(*(b for _, b in FAMILIES.values()))
+# words of class names that say what an element is for
+NOISE = frozenset(
+    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsors sponsored promo promos promotion promoted comment comments commentlist disqus "
+    "replies cookie cookies consent gdpr notice notices alert alerts menu menus nav navbar navigation breadcrumb breadcrumbs sidebar side footer foot header masthead "
+    "share sharing shares social related recommended newsletter subscribe subscription signup login popup modal overlay widget widgets pagination pager toolbar skip hidden".split()
 )
+# words that say no more than that it is a part of a page
+PART = frozenset(
+    "the a to of site page web main global primary secondary article post posts entry blog news story reader readers user users top bottom left right upper lower inner outer "
+    "box bar list lists link links item items wrap wrapper container content section area block panel row col column slot unit zone group holder frame strip button buttons "
+    "icon icons form text title label body head heading image img small large wide sticky fixed floating mobile desktop more also like you box".split()
+)
+NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 NOISY_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar form".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd h2 h3 h4".split())
 
 
 class Node:
-    __slots__ = ("tag", "up", "kids", "drop", "points", "size", "links")
+    __slots__ = ("tag", "up", "kids", "drop", "within", "paragraph", "ends", "points", "size", "links")
 
     def __init__(self, tag: str, up: Node | None, drop: bool):
         self.tag, self.up, self.drop = tag, up, drop
+        self.within = tag in ("article", "main") or up is not None and up.within
+        # the open paragraph, and the open list items, cells and the like that a tag of their family ends
+        self.paragraph: Node | None = self if tag == "p" else None if up is None or tag in ("td", "th", "button", "table") else up.paragraph
+        self.ends: dict[str, Node] = {} if up is None else up.ends
+        if tag in ENDED or tag in SCOPES:
+            own = {k: v for k, v in self.ends.items() if tag not in FAMILIES[k][1]}
+            for k, (closes, _) in FAMILIES.items():
+                if tag in closes:
+                    own.setdefault(k, self)
+            self.ends = own
         self.kids: list[Node | str] = []
         self.points, self.size, self.links = 0.0, 0, 0
 
 
-def noisy(tag: str, attrs: str) -> bool:
-    if tag in DROP:
+def noise_name(names: str) -> bool:
+    """Whether one of the names of a class or id attribute is of noise: it has a word for it, and no word of a meaning of its own."""
+    for name in names.split():
+        parts = [p.lower() for p in NAME_PART.findall(name)]
+        if any(p in NOISE for p in parts) and all(p in NOISE or p in PART for p in parts):
+            return True
+    return False
+
+
+def noisy(tag: str, attrs: str, within: bool) -> bool:
+    """Whether an element is no part of an article; ``within``: it stands in an article or main element, whose header has its title."""
+    if tag in DROP and not (within and tag in ("header", "hgroup")):
         return True
     if not attrs or tag in ("html", "body", "article", "main"):
         return False
     for name, a, b, c in ATTR.findall(attrs):
         value = a or b or c
         name = name.lower()
-        if name in ("class", "id") and NOISE.search(value):
+        if name in ("class", "id") and value and noise_name(value):
             return True
         if name == "role" and value.lower() in NOISY_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
@@ -76,9 +106,19 @@ def noisy(tag: str, attrs: str) -> bool:
 
 
 def parse(page: str) -> Node:
-    """The element tree; text stays as it stands, with its character references."""
+    """The element tree, in time linear in the page; text stays as it stands, with its character references."""
     root = Node("#root", None, False)
     here, at, n = root, 0, len(page)
+    opened: dict[str, int] = {}
+
+    def close(node: Node) -> Node:
+        """End all elements up to an open one and that one."""
+        now = here
+        while now is not node.up:
+            opened[now.tag] -= 1
+            now = now.up
+        return now
+
     while at < n:
         m = TOKEN.search(page, at)
         if m is None:
@@ -92,36 +132,26 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if m.group(1):
-            node = here
-            while node is not root and node.tag != tag:
-                node = node.up
-            if node is not root:
-                here = node.up
+            if opened.get(tag):
+                node = here
+                while node.tag != tag:
+                    node = node.up
+                here = close(node)
             continue
-        if tag in ENDS_P:  # a block ends an open paragraph
-            node = here
-            while node is not root and node.tag != "p" and node.tag not in ("td", "th", "button", "table"):
-                node = node.up
-            if node.tag == "p":
-                here = node.up
-        if tag in SAME_ENDS:
-            closes, within = SAME_ENDS[tag]
-            node = here
-            while node is not root and node.tag not in within:
-                if node.tag in closes:
-                    here = node.up
-                node = node.up
+        if tag in ENDS_P and here.paragraph is not None:  # a block ends an open paragraph
+            here = close(here.paragraph)
+        if tag in SAME_ENDS and SAME_ENDS[tag] in here.ends:
+            here = close(here.ends[SAME_ENDS[tag]])
         attrs = m.group(3)
-        node = Node(tag, here, here.drop or noisy(tag, attrs))
+        node = Node(tag, here, here.drop or noisy(tag, attrs, here.within))
         here.kids.append(node)
         if tag in VOID:
             continue
+        opened[tag] = opened.get(tag, 0) + 1
+        here = node
         if tag in RAW and not attrs.rstrip().endswith("/"):
             end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
             at = end.start() if end else n
-            here = node
-            continue
-        here = node
     return root
 
 
