@@ -21,7 +21,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that repeat an earlier one; none goes, though its text may become empty."""
-    return lines.rewritten(docs)
+    return lines.rewritten(docs, length_column="n_chars")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def _ids_repeat(docs: DataFrame) -> bool:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The words that the mix takes of each document; documents that it does not take go."""
     _, pieces = mixing.mix(docs)
-    return mixing.mixed_documents(docs, pieces)
+    return mixing.mixed_documents(docs, pieces, length_column="n_chars")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
