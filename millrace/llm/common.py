@@ -1,19 +1,17 @@
 """Helpers shared by the operators of this subpackage.
 
-Shared storage, release of finished shuffles, vectorised word handling and
-connected components.  Nothing here keeps state between queries.
+Shared storage, identity of rows, joins that split hot keys, vectorised word
+handling and connected components.  Nothing here keeps state between queries.
 """
 
 from __future__ import annotations
 
-import gc
 import re
 import tempfile
-import time
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space of the word definition ``[^\\x20\\x09-\\x0D]+``.
@@ -45,30 +43,30 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/millrace-{uuid.uuid4().hex}"
 
 
+#: Makes Spark delete the shuffle files of a write as soon as it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again.
 
     This cuts the lineage: a lost executor costs no more than the tasks that
-    ran since the last written table.
+    ran since the last written table.  The write's own shuffles are deleted
+    when it has ended.
     """
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.option("compression", codec).parquet(path)
-    release(spark)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._millrace_path = path
     return out
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """As :func:`materialize` for rows of large binaries, which a columnar reader would take by the thousand.
-
-    Call :func:`release` once ``df`` itself is out of use.
-    """
-    shared_dir(df.sparkSession)  # sees to a checkpoint folder
-    return df.checkpoint(eager=True)
-
-
 def discard(*dfs: DataFrame) -> None:
     """Delete tables of :func:`materialize` that no later plan reads."""
     for df in dfs:
@@ -77,18 +75,6 @@ def discard(*dfs: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession, settle: float = 0) -> None:
-    """Let Spark's cleaner delete the shuffle files of finished jobs.
-
-    Plans that Python held are let go by a thread of the gateway that wakes
-    once a second; ``settle`` waits for it.
-    """
-    gc.collect()
-    if settle:
-        time.sleep(settle)
-    spark.sparkContext._jvm.System.gc()
-
-
 def partitions_for(spark: SparkSession, n_bytes: float, part_bytes: int | None = None) -> int:
     """Partitions of about ``part_bytes``, by default the session's advisory size; never under the session's own number."""
     if part_bytes is None:
@@ -316,27 +302,28 @@ def shingle_hashes(words: np.ndarray, at: np.ndarray, width: int = 5) -> tuple[n
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component_id) for the nodes of ``edges`` (columns ``u``, ``v``).
+    """(node, component_id) for the nodes of ``edges`` (columns ``u``, ``v``), a written table.
 
     component_id is the smallest node reachable.  Alternating large-star and
     small-star rounds (Kiveris et al., 2014): every round is a partial minimum
-    per node and an equi-join, and its edges go to a shared table, so no group
-    is gathered in one place and lineage stays short.  The number of rounds
-    grows with the logarithm of the longest chain.
+    per node and an equi-join that splits hubs, and its edges go to a shared
+    table, so no group is gathered in one place and lineage stays short.  The
+    number of rounds grows with the logarithm of the longest chain.
     """
-    spark = edges.sparkSession
+
+    def lowest(pairs: DataFrame, name: str, value: Column) -> DataFrame:
+        return pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("rows")).select("u", value.alias(name), "rows")
+
     now = materialize(
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     )
-    before = None
     for _ in range(max_rounds):
         # a round is over when its edges are stars that no step changes
+        n = 2 * now.count()
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select("u", "v", "m")
+        large = met(both, lowest(both, "m", F.least("u", "m")), ["u"], n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialize(large.where("u <> v").distinct())
+        small = met(large, lowest(large, "m", F.col("m")), ["u"], n)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
         after = materialize(small.where("u <> v").distinct())
         same = (
@@ -344,12 +331,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .union(after.select("u", "v", F.lit(-1).alias("s")))
             .groupBy("u", "v").agg(F.sum("s").alias("s")).where("s <> 0").limit(1).count() == 0
         )
-        before, now = now, after
-        discard(before)
+        discard(now, large)
+        now = after
         if same:
             break
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
-    release(spark)
     tops = now.select(F.col("v").alias("node"), F.col("v").alias("component_id")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component_id")).union(tops)

@@ -19,9 +19,11 @@ to small cells that are compared exactly.
 
 Large regions are salted (each salt has a copy of the pivot), rest regions
 over a bound are joined block by block, so no group has to fit in one task and
-nothing is capped.  Equal sets are joined as one.  What is counted or compared
-comes from shingles that at least two documents have; the others only matter by
-their number.
+nothing is capped.  Joins on shingles, pivots and sets split hot keys.  Equal
+sets are joined as one, and a shingle that several documents of a map task's
+chunk have is sent to be counted once, with their number.  What is counted or
+compared comes from shingles that at least two documents have; the others only
+matter by their number.
 
 Null and empty texts have no shingles and no links.  Texts of one to four
 words have their word sequence as one shingle.  A null doc_id has links to
@@ -32,7 +34,7 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -40,6 +42,7 @@ from . import common
 WIDTH = 5
 NUM, DEN = 75, 100  # links: DEN * |A and B| >= NUM * |A or B|
 BUCKET_BYTES = 12 << 20
+MAX_PARTS = 1 << 15  # of a shuffle; beyond that a task has several buckets, one after the other
 SALT_ROWS = 1000
 REST_ROWS = 2000
 LEAF = 64
@@ -50,104 +53,219 @@ def linked(inter, a, b):
     return DEN * inter >= NUM * (a + b - inter)
 
 
-def _packed(h: np.ndarray, doc: np.ndarray, m: int) -> bytes:
-    """Shingles in the order of their documents, which are given by how many each has."""
-    counts = np.bincount(doc, minlength=m).astype(np.uint32)
-    return np.array([len(h), m], np.int64).tobytes() + h.tobytes() + counts.tobytes()
+# -- sets ---------------------------------------------------------------------
+#
+# Rows carry many shingles each.  A section is a run of entries (chunk, shingle,
+# number, level) in the order of their chunks; a body has two: shingles that one
+# document of a chunk has (number: which one), and those that several have
+# (number: how many).
 
 
-def _unpacked(body: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
-    """(shingles, document of each, what follows)."""
-    n, m = np.frombuffer(body, np.int64, 2)
-    counts = np.frombuffer(body, np.uint32, m, 16 + 8 * n)
-    return np.frombuffer(body, np.uint64, n, 16), np.repeat(np.arange(m, dtype=np.uint32), counts), body[16 + 8 * n + 4 * m :]
+def _section(chunk: np.ndarray, h: np.ndarray, x: np.ndarray, level: np.ndarray | None = None) -> bytes:
+    names, counts = np.unique(chunk, return_counts=True)
+    planes = np.ascontiguousarray(x.astype(np.uint32).view(np.uint8).reshape(len(x), 4).T)
+    head = np.array([len(h), len(names), level is not None], np.int64)
+    return b"".join([head.tobytes(), names.astype(np.int64).tobytes(), counts.astype(np.int64).tobytes(), h.tobytes(), planes.tobytes(), level.tobytes() if level is not None else b""])
+
+
+def _sections(body: bytes) -> list[tuple[np.ndarray, ...]]:
+    """(chunk, shingle, number, level) of both sections."""
+    at, out = 0, []
+    for _ in range(2):
+        n, k, levels = np.frombuffer(body, np.int64, 3, at).tolist()
+        names, counts = np.frombuffer(body, np.int64, 2 * k, at + 24).reshape(2, k)
+        at += 24 + 16 * k
+        h = np.frombuffer(body, np.uint64, n, at)
+        x = np.ascontiguousarray(np.frombuffer(body, np.uint8, 4 * n, at + 8 * n).reshape(4, n).T).view(np.uint32).ravel()
+        at += 12 * n
+        level = np.frombuffer(body, np.uint8, n, at) if levels else np.zeros(0, np.uint8)
+        at += len(level)
+        out.append((np.repeat(names, counts), h, x, level))
+    return out
+
+
+def _joined(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    kinds = (np.int64, np.uint64, np.uint32, np.uint8)
+    return tuple(np.concatenate([np.zeros(0, t), *x]) for t, x in zip(kinds, zip(*parts))) if parts else tuple(np.zeros(0, t) for t in kinds)
+
+
+def _split(by: list[np.ndarray]):
+    """For each value of the keys ``by`` of both sections: (value, their entries)."""
+    order = [np.argsort(k, kind="stable") for k in by]
+    values = np.unique(np.concatenate(by))
+    edges = [(np.searchsorted(k[o], values), np.searchsorted(k[o], values, side="right")) for k, o in zip(by, order)]
+    for i, v in enumerate(values.tolist()):
+        yield v, [o[a[i] : z[i]] for o, (a, z) in zip(order, edges)]
+
+
+ROWS = "to int, key long, kind int, body binary"
+
+
+def _emit(rows):
+    """Rows (to, key, kind, body) as batches of some megabytes."""
+    import pyarrow as pa
+
+    held, size = [], 0
+
+    def batch():
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(zip(*held), (pa.int32(), pa.int64(), pa.int32(), pa.binary()))], names=["to", "key", "kind", "body"]
+        )
+
+    for r in rows:
+        held.append(r)
+        size += len(r[3])
+        if size >= 4 << 20:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
+
+
+def _taken(batches):
+    for b in batches:
+        yield from zip(*(b.column(c).to_pylist() for c in ("to", "key", "kind")), (x.as_py() for x in b.column("body")))
+
+
+def _part(h: np.ndarray, parts: int) -> np.ndarray:
+    return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def _sub(h: np.ndarray, subs: int) -> np.ndarray:
+    return ((h & np.uint64(0xFFFFFFFF)) * np.uint64(subs) >> np.uint64(32)).astype(np.int64)
 
 
 def _shingled(parts: int):
-    """Map stage: packed shingles by hash bucket, and each chunk's documents."""
+    """Map stage: shingles by hash bucket (kind 1), and each chunk's documents (kind 0)."""
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        schema = pa.schema([("to", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()), ("body", pa.binary())])
-        pid, seq = TaskContext.get().partitionId(), 0
-        ids, hashes, sizes, held = [], [], [], 0
+        pid = TaskContext.get().partitionId()
 
-        def flush():
-            nonlocal ids, hashes, sizes, held, seq
-            chunk = (pid << 20) + seq
-            seq += 1
+        def flush(chunk, ids, hashes, sizes):
             h, n = np.concatenate(hashes), np.concatenate(sizes)
             at = np.r_[0, np.cumsum(n)]
             s1, s2 = (np.r_[np.uint64(0), np.cumsum(common.mix64(h ^ np.uint64(c)))] for c in (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47))
             s1, s2 = s1[at[1:]] - s1[at[:-1]], s2[at[1:]] - s2[at[:-1]]
             doc = np.repeat(np.arange(len(n), dtype=np.uint32), n)
-            to = ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
-            order = np.argsort(to, kind="stable")
-            h, doc, edges = h[order], doc[order], np.searchsorted(to[order], np.arange(parts + 1))
-            docs = pa.concat_arrays(ids).fill_null(-(2**63)).to_numpy(zero_copy_only=False).astype(np.int64)
-            head = np.array([len(docs)], np.int64).tobytes() + docs.tobytes() + n.astype(np.int64).tobytes() + s1.tobytes() + s2.tobytes()
-            rows = [(int(pid % parts), chunk, 0, head)]
-            for k in range(parts):
-                a, z = edges[k], edges[k + 1]
-                if z > a:
-                    rows.append((k, chunk, 1, _packed(h[a:z], doc[a:z], len(docs))))
-            ids, hashes, sizes, held = [], [], [], 0
-            for r in rows:
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(r, schema.types)], schema=schema)
-
-        for b in common.small(batches):
-            h, at = common.shingle_hashes(*common.word_hashes(*common.column_bytes(b.column("text"))), WIDTH)
-            ids.append(b.column("doc_id").cast(pa.int64()))
-            hashes.append(h)
-            sizes.append(np.diff(at))
-            held += len(h)
-            if held >= 3 << 20:
+            # a shingle of several documents of the chunk travels once, with their number
+            order = np.argsort(h)
+            sorted_ = h[order]
+            first = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]][: len(h)])
+            counts = np.diff(np.r_[first, len(h)])
+            several = counts > 1
+            single = np.zeros(len(h), bool)
+            single[order[first[~several]]] = True
+            shared = sorted_[first[several]]
+            docs = pa.concat_arrays(ids).fill_null(common.NULL_ID).to_numpy(zero_copy_only=False).astype(np.int64)
+            own = np.bincount(doc[~single], minlength=len(n))
+            head = [np.array([len(docs), (~single).sum()], np.int64), docs, n.astype(np.int64), s1, s2, own.astype(np.int64), h[~single]]
+            yield int(pid % parts), chunk, 0, b"".join(x.tobytes() for x in head)
+            entries = [(h[single], doc[single]), (shared, counts[several])]
+            for to, rows in _split([_part(x, parts) for x, _ in entries]):
+                body = [_section(np.full(len(r), chunk), x[r], y[r]) for r, (x, y) in zip(rows, entries)]
+                yield to, 0, 1, b"".join(body)
+
+        def rows():
+            seq, ids, hashes, sizes, held = 0, [], [], [], 0
+            for b in common.small(batches):
+                h, at = common.shingle_hashes(*common.word_hashes(*common.column_bytes(b.column("text"))), WIDTH)
+                ids.append(b.column("doc_id").cast(pa.int64()))
+                hashes.append(h)
+                sizes.append(np.diff(at))
+                held += len(h)
+                if held >= 3 << 20:
+                    yield from flush((pid << 20) + seq, ids, hashes, sizes)
+                    seq, ids, hashes, sizes, held = seq + 1, [], [], [], 0
+            if ids:
+                yield from flush((pid << 20) + seq, ids, hashes, sizes)
+
+        yield from _emit(rows())
+
+    return run
+
+
+def _regrouped(keys):
+    """For a task with several groups: the entries of many rows, a row for each group; ``keys`` gives an entry's group."""
+
+    def run(batches):
+        def rows():
+            held, size = [], 0
+
+            def flush():
+                both = [_joined([x[i] for x in held]) for i in range(2)]
+                for key, own in _split([keys(*c) for c in both]):
+                    body = []
+                    for r, (chunk, h, x, level) in zip(own, both):
+                        r = r[np.argsort(chunk[r], kind="stable")]
+                        body.append(_section(chunk[r], h[r], x[r], level[r] if len(level) else None))
+                    yield 0, key, 1, b"".join(body)
+
+            for row in _taken(batches):
+                if row[2] == 0:
+                    yield row
+                    continue
+                held.append(_sections(row[3]))
+                size += len(row[3])
+                if size >= 32 << 20:
+                    yield from flush()
+                    held, size = [], 0
+            if held:
                 yield from flush()
-        if ids:
-            yield from flush()
+
+        yield from _emit(rows())
 
     return run
 
 
-def _frequent(batches):
-    """Bucket stage: sends each chunk its shingles of two or more documents, with the log of their frequency."""
-    import pyarrow as pa
+def _frequent(parts: int, bundled: bool):
+    """Bucket stage: sends each chunk its shingles of two or more documents, with the log of their frequency.
 
-    schema = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("body", pa.binary())])
+    A row answers one chunk, or, ``bundled``, all chunks of a task.
+    """
 
-    def row(chunk, kind, body):
-        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((chunk, kind, body), schema.types)], schema=schema)
+    def run(batches):
+        def answers(held):
+            single, shared = (_joined([x[i] for x in held]) for i in range(2))
+            h, weight = np.concatenate([single[1], shared[1]]), np.concatenate([np.ones(len(single[1]), np.int64), shared[2].astype(np.int64)])
+            order = np.argsort(h)
+            sorted_ = h[order]
+            first = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]][: len(h)])
+            if not len(first):
+                return
+            total = np.add.reduceat(weight[order], first)
+            level = np.empty(len(h), np.uint8)
+            level[order] = np.repeat(np.frexp(total.astype(np.float64))[1].astype(np.uint8), np.diff(np.r_[first, len(h)]))  # 1: one document
+            del order, sorted_, h, weight
+            keep = np.flatnonzero(level[: len(single[0])] > 1)
+            entries = [(*(c[keep] for c in single[:3]), level[keep]), (*shared[:3], level[len(single[0]) :])]
+            to = [(e[0] >> 20) % parts for e in entries]
+            for key, own in _split(to if bundled else [e[0] for e in entries]):
+                body = []
+                for r, (chunk, h, x, v) in zip(own, entries):
+                    r = r[np.argsort(chunk[r], kind="stable")] if bundled else r
+                    body.append(_section(chunk[r], h[r], x[r], v[r]))
+                yield int(key if bundled else (key >> 20) % parts), int(key), 1, b"".join(body)
+
+        def rows():
+            now, held = None, []
+            for to, key, kind, body in _taken(batches):
+                if kind == 0:
+                    yield to, key, kind, body
+                    continue
+                if key != now and held:
+                    yield from answers(held)
+                    held = []
+                now = key
+                held.append(_sections(body))
+            if held:
+                yield from answers(held)
+
+        yield from _emit(rows())
 
-    chunks, hashes, docs = [], [], []
-    for b in batches:
-        for chunk, kind, body in zip(*(b.column(c) for c in ("chunk", "kind", "body"))):
-            body = body.as_py()
-            if kind.as_py() == 0:
-                yield row(chunk.as_py(), 0, body)
-                continue
-            own, doc, _ = _unpacked(body)
-            chunks.append(chunk.as_py())
-            hashes.append(own)
-            docs.append((doc, np.frombuffer(body, np.int64, 2)[1]))
-    if not chunks:
-        return
-    h = np.concatenate(hashes)
-    order = np.argsort(h)
-    sorted_ = h[order]
-    first = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
-    counts = np.diff(np.r_[first, len(h)])
-    log = np.zeros(len(h), np.uint8)
-    log[order] = np.repeat(np.frexp(counts.astype(np.float64))[1].astype(np.uint8), counts)  # 1: one document
-    del order, sorted_
-    at = 0
-    for chunk, own, (doc, m) in zip(chunks, hashes, docs):
-        level = log[at : at + len(own)]
-        at += len(own)
-        keep = level > 1
-        if keep.any():
-            yield row(chunk, 1, _packed(own[keep], doc[keep], int(m)) + level[keep].tobytes())
+    return run
 
 
 SETS = "doc_id long, n long, s1 long, s2 long, prefix array<long>, rare binary"
@@ -162,18 +280,17 @@ def _prefixes(batches):
     ])
 
     def finish(head, bodies):
-        m = int(np.frombuffer(head, np.int64, 1)[0])
-        ids, n = np.frombuffer(head, np.int64, m, 8), np.frombuffer(head, np.int64, m, 8 + 8 * m)
-        s1, s2 = np.frombuffer(head, np.int64, m, 8 + 16 * m), np.frombuffer(head, np.int64, m, 8 + 24 * m)
-        h, doc, level = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)], [np.zeros(0, np.uint8)]
-        for body in bodies:
-            for out, x in zip((h, doc), _unpacked(body)):
-                out.append(x)
-            level.append(np.frombuffer(_unpacked(body)[2], np.uint8))
-        h, doc, level = map(np.concatenate, (h, doc, level))
+        m, k = np.frombuffer(head, np.int64, 2).tolist()
+        ids, n, s1, s2, own = np.frombuffer(head, np.int64, 5 * m, 16).reshape(5, m)
+        (_, h, doc, level), shared = (_joined([x[i] for x in bodies]) for i in range(2))
+        if k:  # shingles of several documents of the chunk: their levels came once
+            order = np.argsort(shared[1])
+            pairs = np.frombuffer(head, np.uint64, k, 16 + 40 * m)
+            h, doc = np.concatenate([h, pairs]), np.concatenate([doc, np.repeat(np.arange(m, dtype=np.uint32), own)])
+            level = np.concatenate([level, shared[3][order][np.searchsorted(shared[1][order], pairs)]])
         often = np.bincount(doc, minlength=m)
         wanted = n - -(-NUM * n // DEN) + 1 - (n - often)  # what of the prefix remains after unique shingles
-        wanted[(n == 0) | (ids == -(2**63))] = 0
+        wanted[(n == 0) | (ids == common.NULL_ID)] = 0
         use = (wanted > 0)[doc]
         h, doc, level = h[use], doc[use], level[use]
         order = np.lexsort((h, level, doc))
@@ -181,40 +298,45 @@ def _prefixes(batches):
         at = np.searchsorted(doc, np.arange(m + 1))
         prefix, rare = [None] * m, [None] * m
         for i in np.flatnonzero(wanted > 0):
-            own = h[at[i] : at[i + 1]]
-            prefix[i] = own[: wanted[i]].view(np.int64)
-            rare[i] = np.sort(own).tobytes()
+            mine = h[at[i] : at[i + 1]]
+            prefix[i] = mine[: wanted[i]].view(np.int64)
+            rare[i] = np.sort(mine).tobytes()
         for a in range(0, m, 1000):
             z = min(m, a + 1000)
             cols = (ids[a:z], n[a:z], s1[a:z], s2[a:z], prefix[a:z], rare[a:z])
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, schema.types)], schema=schema)
 
     now, head, bodies = None, None, []
-    for b in batches:
-        for chunk, kind, body in zip(*(b.column(c) for c in ("chunk", "kind", "body"))):
-            if chunk.as_py() != now:
-                if now is not None:
-                    yield from finish(head, bodies)
-                now, head, bodies = chunk.as_py(), None, []
-            if kind.as_py() == 0:
-                head = body.as_py()
-            else:
-                bodies.append(body.as_py())
+    for _, key, kind, body in _taken(batches):
+        if key != now:
+            if now is not None:
+                yield from finish(head, bodies)
+            now, head, bodies = key, None, []
+        if kind == 0:
+            head = body
+        else:
+            bodies.append(_sections(body))
     if now is not None:
         yield from finish(head, bodies)
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """One row per document: size and digest of its shingle set; prefix and frequent shingles where it may have a partner."""
-    docs = docs.select("doc_id", "text")
-    parts = common.partitions_for(docs.sparkSession, common.text_bytes(docs), BUCKET_BYTES)
-    packed = docs.mapInArrow(_shingled(parts), "to int, chunk long, kind int, body binary")
-    # written, so that the shingles' own shuffle can go before the answers are dealt
-    answers = common.checkpointed(packed.repartitionById(parts, F.col("to")).mapInArrow(_frequent, "chunk long, kind int, body binary"))
-    del packed
-    common.release(docs.sparkSession, settle=2.5)
-    by_chunk = answers.repartitionById(parts, F.pmod(F.shiftright("chunk", 20), F.lit(parts)).cast("int")).sortWithinPartitions("chunk")
-    return common.materialize(by_chunk.mapInArrow(_prefixes, SETS))
+    """One row per document: size and digest of its shingle set; prefix and frequent shingles where it may have a partner.
+
+    The number of shuffle partitions is bounded; where buckets outnumber them,
+    a task regroups its rows and takes one bucket, or one chunk, after the other.
+    """
+    spark, docs = docs.sparkSession, docs.select("doc_id", "text")
+    buckets = common.partitions_for(spark, common.text_bytes(docs), BUCKET_BYTES)
+    parts = min(buckets, max(MAX_PARTS, common.partitions_for(spark, 0)))
+    subs = -(-buckets // parts)
+    rows = docs.mapInArrow(_shingled(parts), ROWS).repartitionById(parts, F.col("to"))
+    if subs > 1:
+        rows = rows.mapInArrow(_regrouped(lambda chunk, h, x, level: _sub(h, subs)), ROWS).sortWithinPartitions("key")
+    rows = rows.mapInArrow(_frequent(parts, subs > 1), ROWS).repartitionById(parts, F.col("to"))
+    if subs > 1:
+        rows = rows.mapInArrow(_regrouped(lambda chunk, h, x, level: chunk), ROWS)
+    return common.materialize(rows.sortWithinPartitions("key").mapInArrow(_prefixes, SETS))
 
 
 # -- regions ------------------------------------------------------------------
@@ -249,7 +371,7 @@ def _to_pivot(batches):
                 out.append((p, x, n, 1 - inter / (n + size - inter), linked(inter, n, size)))
         if out:
             cols = list(zip(*out))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_())
+            types = (pa.binary(), pa.binary(), pa.int64(), pa.float64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["p", "x", "n", "d", "inner"])
 
 
@@ -340,7 +462,7 @@ def _rest(batches):
         join_region(sets, np.array(sizes, np.int64), np.array(outer, bool), forest)
         if forest.edges:
             u, v = zip(*forest.edges)
-            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in e], pa.int64()) for e in (u, v)], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in e], pa.binary()) for e in (u, v)], names=["u", "v"])
 
     now, rows = None, []
     for b in batches:
@@ -354,41 +476,53 @@ def _rest(batches):
         yield from finish(rows)
 
 
+def _name(rep: str) -> Column:
+    """What a set is called: its least document and half of its digest, 16 bytes."""
+    return F.concat(*[F.unhex(F.lpad(F.hex(c), 16, "0")) for c in (rep, "s1")])
+
+
+def _rep(name: str) -> Column:
+    """The least document of a set, from its name."""
+    return F.conv(F.hex(F.substring(name, 1, 8)), 16, -10).cast("long")
+
+
 def links_of(sets: DataFrame) -> DataFrame:
-    """Links (u, v) between distinct shingle sets, named by s1, that make up the same components as all links do."""
+    """Links (u, v) between distinct shingle sets, by their least documents, that make up the same components as all links do."""
     spark = sets.sparkSession
     r = 1 - NUM / DEN
     # one row for each distinct set that may have a partner
-    own = sets.where("prefix is not null").groupBy("s1").agg(F.min("n").alias("n"), F.min(F.struct("doc_id", "prefix", "rare")).alias("x"))
-    own = common.materialize(own.select(F.col("s1").alias("x"), "n", "x.prefix", "x.rare"))
+    own = sets.where("prefix is not null").groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "prefix", "rare")).alias("x"))
+    own = common.materialize(own.select(_name("x.doc_id").alias("x"), "n", "x.prefix", "x.rare"))
     postings = own.select("x", F.explode("prefix").alias("t"))
-    lists = postings.groupBy("t").agg(F.min("x").alias("p"), F.max("x").alias("last")).where("p <> last").select("t", "p")
-    pairs = common.materialize(postings.join(lists, "t").where("x <> p").select("p", "x").distinct())
+    n_postings = own.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
+    lists = postings.groupBy("t").agg(F.min("x").alias("p"), F.max("x").alias("last"), F.count("*").alias("rows")).where("p <> last").drop("last")
+    pairs = common.materialize(common.met(postings, lists, ["t"], n_postings).where("x <> p").select("p", "x").distinct())
+    n_pairs = pairs.count()
     size = pairs.groupBy("p").agg(F.count("*").alias("rows"))
-    salts = size.select("p", F.expr(f"rows div {SALT_ROWS} + 1").cast("int").alias("salts"))
+    salts = common.materialize(size.select("p", "rows", F.expr(f"rows div {SALT_ROWS} + 1").cast("int").alias("salts")))
     data = own.select("x", "n", "rare")
-    members = pairs.join(salts.hint("merge"), "p").select("p", F.pmod("x", F.col("salts")).cast("int").alias("salt"), "x").join(data, "x")
+    members = common.met(pairs, salts, ["p"], n_pairs).select("p", F.pmod(F.xxhash64("x"), F.col("salts")).cast("int").alias("salt"), "x").join(data, "x")
     pivots = salts.select("p", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("p").alias("x")).join(data, "x")
     columns = ("p", "salt", "x", "n", "rare")
     parts = common.partitions_for(spark, 0)
     region = members.select(*columns).union(pivots.select(*columns)).repartition(parts, "p", "salt")
     region = region.sortWithinPartitions("p", "salt", F.col("x") != F.col("p"))
-    near = common.materialize(region.mapInArrow(_to_pivot, "p long, x long, n long, d double, inner boolean"))
+    near = common.materialize(region.mapInArrow(_to_pivot, "p binary, x binary, n long, d double, inner boolean"))
     inner = near.where("inner").select(F.col("p").alias("u"), F.col("x").alias("v"))
     # what a region has left: outer sets, and the inner ones that the triangle inequality leaves as partners
-    least = near.where("not inner").groupBy("p").agg(F.min("d").alias("least"))
-    rest = near.join(least.hint("merge"), "p").where((~F.col("inner")) | (F.col("d") >= F.col("least") - r - 1e-12))
+    least = near.groupBy("p").agg(F.min(F.when(~F.col("inner"), F.col("d"))).alias("least"), F.count("*").alias("rows")).where("least is not null")
+    rest = common.met(near, least, ["p"], n_pairs).where((~F.col("inner")) | (F.col("d") >= F.col("least") - r - 1e-12))
     rest = common.materialize(rest.select("p", "x", (~F.col("inner")).alias("outer")))
     tall = rest.groupBy("p").agg(F.count("*").alias("rows")).where("rows > 1")
-    tall = tall.select("p", F.expr(f"rows div {REST_ROWS} + 1").cast("int").alias("blocks"))
-    placed = rest.join(tall.hint("merge"), "p").withColumn("b", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
+    tall = tall.select("p", "rows", F.expr(f"rows div {REST_ROWS} + 1").cast("int").alias("blocks"))
+    placed = common.met(rest, tall, ["p"], n_pairs).withColumn("b", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
     # block pairs (i, j), i <= j: every two members meet in one task
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("b", k).alias("bi"), F.greatest("b", k).alias("bj")))
     placed = placed.select("p", "x", "outer", F.inline(others)).join(data, "x")
     placed = placed.repartition(parts, "p", "bi", "bj").sortWithinPartitions("p", "bi", "bj", "x")
-    found = placed.select("p", "bi", "bj", "x", "n", "rare", "outer").mapInArrow(_rest, "u long, v long")
-    links = common.materialize(inner.union(found).distinct())
-    common.discard(own, pairs, near, rest)
+    found = placed.select("p", "bi", "bj", "x", "n", "rare", "outer").mapInArrow(_rest, "u binary, v binary")
+    links = common.materialize(inner.union(found).select(_rep("u").alias("u"), _rep("v").alias("v")).distinct())
+    common.discard(own, pairs, salts, near, rest)
     return links
 
 
@@ -397,15 +531,22 @@ def join(docs: DataFrame) -> DataFrame:
     sets = sets_of(docs)
     links = links_of(sets)
     # the least document stands for all of its set
-    full = sets.where((F.col("n") > 0) & (F.col("doc_id") != -(2**63)))
-    named = full.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
-    named = common.materialize(named)
-    lead = named.groupBy("s1").agg(F.min("rep").alias("rep"))
-    ends = links.join(lead.select(F.col("s1").alias("u"), F.col("rep").alias("ru")), "u").join(lead.select(F.col("s1").alias("v"), F.col("rep").alias("rv")), "v")
-    same = full.join(named, ["s1", "s2", "n"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    edges = ends.select(F.col("ru").alias("u"), F.col("rv").alias("v")).union(same.where("u <> v"))
-    parts = common.connected_components(edges)
-    ids = F.when(F.col("doc_id") != -(2**63), F.col("doc_id"))
-    return sets.join(parts, sets.doc_id == parts.node, "left").select(
-        ids.alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", ids).alias("component_id")
-    )
+    digest = ["s1", "s2", "n"]
+    real = (F.col("n") > 0) & (F.col("doc_id") != common.NULL_ID)
+    full = sets.where(real).select("doc_id", *digest)
+    named = common.materialize(full.groupBy(*digest).agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")))
+    # a doc_id of several sets links them
+    several = full.groupBy("doc_id").agg(F.min(F.struct(*digest)).alias("lo"), F.max(F.struct(*digest)).alias("hi"))
+    several = common.materialize(several.where("lo <> hi").select("doc_id"))  # mostly empty, which the plan can see
+    same = full.join(several, "doc_id").distinct().join(named.drop("rows"), digest).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    parts = common.connected_components(links.union(same))
+    found = named.join(parts, named.rep == parts.node, "left").select(*digest, F.coalesce("component_id", "rep").alias("component_id"), "rows")
+    found = common.materialize(found)
+    total = sets.count()
+    common.discard(links, named, several)
+    mine = common.met(full, found, digest, total).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    ids = F.when(F.col("doc_id") != common.NULL_ID, F.col("doc_id"))
+    others = sets.where(~real).select(ids.alias("doc_id"), F.col("n").alias("n_shingles"), ids.alias("component_id"))
+    out = common.materialize(mine.union(others))
+    common.discard(sets, found)
+    return out

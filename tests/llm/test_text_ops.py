@@ -58,6 +58,9 @@ def test_jaccard_chains_and_hot_groups(spark, seed, monkeypatch):
     monkeypatch.setattr(jaccard, "SALT_ROWS", 7)
     monkeypatch.setattr(jaccard, "REST_ROWS", 9)
     monkeypatch.setattr(jaccard, "LEAF", 4)
+    if seed:  # several buckets and chunks to a task
+        monkeypatch.setattr(jaccard, "BUCKET_BYTES", 4000)
+        monkeypatch.setattr(jaccard, "MAX_PARTS", 2)
     r, docs, base = random.Random(seed), [], words(60, seed).split()
     passage = words(50, 99)
     for i in range(120):
@@ -72,6 +75,24 @@ def test_jaccard_chains_and_hot_groups(spark, seed, monkeypatch):
     assert jaccard_rows(jaccard.join(frame(spark, docs))) == brute.jaccard(docs)
 
 
+def test_jaccard_of_rows_that_share_an_id(spark):
+    """One id with two texts links what each of them is linked with."""
+    a, b, c = words(30, 1), words(30, 2), words(30, 3)
+    docs = [(9, a), (9, b), (4, a + " x"), (7, b), (7, b), (8, c), (None, a), (None, c), (3, None), (3, c)]
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in jaccard.join(frame(spark, docs)).collect()}
+    assert got == {(9, 26): 4, (4, 27): 4, (7, 26): 4, (8, 26): 3, (3, 26): 3, (3, 0): 3, (None, 26): None}
+
+
+def test_components_of_stars_and_chains(spark):
+    """Hubs over the bound of a salted join, and a long chain."""
+    from millrace.llm import common
+
+    edges = [(0, i) for i in range(1, 500)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 4999), (5000, 5000), (-3, 499)]
+    got = {r.node: r.component_id for r in common.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    nodes = {x for e in edges for x in e}
+    assert got == brute.components(nodes, edges)
+
+
 def substring_rows(df):
     kept = df.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("r"), F.size("spans").alias("s"), F.sha2("kept", 256).alias("h"))
     return {x.doc_id: (x.n_bytes, x.r, x.s, x.h) for x in kept.collect()}
