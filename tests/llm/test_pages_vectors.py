@@ -22,11 +22,28 @@ def test_article_without_its_surroundings():
     ]
 
 
-@pytest.mark.parametrize("page", [None, "", "   ", "<", "<p", "<!--", "<script>x", "</p></div>", "<a href='x'>", "&amp;", "<b>" * 3000, "<div>" * 3000 + "deep" + "</div>" * 3000, "<p>" + "<i x=\"" * 500])
+@pytest.mark.parametrize("page", [None, "", "   ", "<", "<p", "<!--", "<script>x", "</p></div>", "<a href='x'>", "&amp;", "<b>" * 3000, "<div>" * 3000 + "deep" + "</div>" * 3000, "<div>" * 100_000 + "deep", "<ul><li>" * 20_000 + "</p>" * 20_000, "<li>x" * 20_000, "<table><tr><td>" * 9000, "<p>" + "<i x=\"" * 500])
 def test_broken_pages_do_not_fail(page):
     assert isinstance(htmltext.main_text(page), str)
 
 
+def test_deep_pages_take_linear_time():
+    import time
+
+    took = []
+    for n in (20_000, 100_000):
+        began = time.process_time()
+        assert htmltext.main_text("<div>" * n + "deep" + "</div>" * n) == "deep"
+        took.append(time.process_time() - began)
+    assert took[1] < 15 * took[0]
+
+
+def test_names_of_noise_and_headers_of_articles():
+    page = f"""<header><h1>Site</h1></header><article><header><h1>Title</h1></header><p class="social-history">{P}</p><section id="side-effects"><p>{P}</p></section>
+    <div class="social-links">no</div><p class="notice">no</p><div class="reader-comments"><p>{P}</p></div><div class="adBanner">no</div><footer>no</footer></article><div class="side-bar">no</div>"""
+    assert htmltext.main_text(page).split("\n") == ["Title", P.strip(), P.strip()]
+
+
 def test_plain_and_short_pages():
     assert htmltext.main_text("just text") == "just text"
     assert htmltext.main_text("<html><body><article><p>Hi.</p></article><footer>no</footer></body></html>") == "Hi."
@@ -52,6 +69,8 @@ def test_page_table_edges(spark):
     rows = [(1, None, None), (1, None, None), (None, "u", "<p>x</p>"), (2, "u", "")]
     got = htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert sorted(r.text for r in got) == ["", "", "", "x"]
+    wide = spark.createDataFrame([("a", 1, "<p>x</p>", "t", 5, "u")], "`a.b` string, page_id long, html string, text string, n_chars int, url string")
+    assert [tuple(r) for r in htmltext.extract(wide).collect()] == [(1, "u", "x", 1)]
     assert htmltext.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
@@ -97,6 +116,26 @@ def test_vectors_recall_and_hot_groups(spark, monkeypatch, part_rows):
     assert sum(got.values()) >= 0.9 * sum(n for n, _ in want.values())
 
 
+@pytest.mark.parametrize("cell_rows", [100_000, 300])
+def test_vectors_with_a_common_offset(spark, monkeypatch, cell_rows):
+    """A mean of twice the noise: bits stay balanced, the true links are found, also where cells are over their bound."""
+    monkeypatch.setattr(itq, "CELL_ROWS", cell_rows)
+    monkeypatch.setattr(itq, "GROUP", 4 if cell_rows < 1000 else 64)
+    r = np.random.default_rng(2)
+    x = r.standard_normal((1500, 32)) / np.sqrt(32)
+    x = x + 2 * np.eye(32)[0]
+    near = x[:300] + 0.25 * r.standard_normal((300, 32)) / np.sqrt(32)
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(np.concatenate([x, near]))]
+    units = itq.unit(np.array([v for _, v in rows]))
+    codes = itq.Codes(units, 8, 6)
+    shares = ((units - codes.mean) @ codes.projection >= 0).mean(0)
+    assert (abs(shares - 0.5) < 0.1).all()
+    true = np.triu(units @ units.T >= 0.9, 1)
+    want = true.sum(0) + true.sum(1)
+    got = np.array([x.n_links for x in itq.dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).orderBy("vec_id").collect()])
+    assert (got <= want).all() and got.sum() >= 0.9 * want.sum() and want.sum() > 1000
+
+
 def test_vector_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, None), (2, []), (3, [0.0] * 8), (4, [nan] + [1.0] * 7), (5, [inf] + [1.0] * 7), (6, [None] + [1.0] * 7), (7, [1.0] * 8), (8, [2.0] * 8), (9, [1.0] * 8), (10, [1.0] * 4),
