@@ -52,7 +52,6 @@ SEGMENT = 1 << 19
 BLOCK = 1 << 19
 OFTEN = 14  # a sample is frequent if it is that of more than 2**-OFTEN of the runs
 MOST_OFTEN = 1 << 16  # frequent strings that are sent to all tasks, those of most runs
-_NULL = -(2**63)
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -555,19 +554,11 @@ def _counted(length: int):
 def frequent_grams(docs: DataFrame, length: int = LENGTH) -> np.ndarray:
     """At most MOST_OFTEN hashes of 12-byte strings, the most frequent ones; which ones they are does not matter to results."""
     found = docs.select("text").mapInArrow(_counted(length), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    rows = found.orderBy(F.desc("n"), "gram").limit(MOST_OFTEN).select("gram").toPandas()
-    return rows.gram.to_numpy(np.int64).view(np.uint64)
-
-
-def _named(docs: DataFrame) -> DataFrame:
-    """id, tags ta and tb, doc_id and text; tags are a hash of the text where rows share an id but not the text, 0 elsewhere."""
-    a, b = F.xxhash64("text"), F.xxhash64(F.lit(1), "text")
-    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(_NULL)).alias("id"), "text")
-    shared = rows.select("id", a.alias("a"), b.alias("b")).groupBy("id").agg(*[f(c).alias(f"{n}{c}") for c in "ab" for n, f in (("lo", F.min), ("hi", F.max))])
-    # written, so that the plan knows its size: it is mostly empty
-    shared = common.materialize(shared.where("loa <> hia or lob <> hib").select("id", F.lit(True).alias("shared")))
-    rows = rows.join(shared, "id", "left")
-    return rows.select("doc_id", "id", *[F.when(F.col("shared"), x).otherwise(F.lit(0)).cast("long").alias(n) for n, x in (("ta", a), ("tb", b))], "text")
+    # written first: a sorted limit that is collected would send the first rows of every partition to the driver
+    found = common.materialize(found.orderBy(F.desc("n"), "gram").limit(MOST_OFTEN).select("gram"))
+    grams = found.toPandas().gram.to_numpy(np.int64).view(np.uint64)
+    common.discard(found)
+    return grams
 
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -594,7 +585,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, kept (the remaining bytes) and spans (begin, end of each removed run) of every document."""
-    rows = _named(docs)
+    rows = common.identified(docs.select("doc_id", "text"))
     found = repeated_spans(rows, length)
     rows = rows.join(found.hint("merge"), ["id", "ta", "tb"], "left")
     latin = "ISO-8859-1"  # a character for each byte
