@@ -1,11 +1,12 @@
 """Quality classifier: nearest-neighbour voting among latent-semantic vectors.
 
-Terms of a text are its pairs of byte classes, letters folded to a few
-classes of bytes (so that no topic or language is learnt), and how often it
-repeats its own words, next to each other, within windows of 400 words (the
-mean over all windows of the text) and over the whole text.  Term shares, square-rooted and weighted by inverse
-document frequency, are projected on the leading singular vectors of a sample
-of labelled texts (latent semantic analysis).  The sample's vectors and labels
+Terms of a text are its words, hashed to a few hundred, its pairs of byte
+classes, letters folded to a few classes of bytes, and how often it repeats
+its own words, next to each other, within windows of 400 words (the mean over
+all windows of the text) and over the whole text.  All are taken over the
+whole text.  Term shares, square-rooted and weighted by inverse document
+frequency, are projected on the leading singular vectors of a sample of
+labelled texts (latent semantic analysis).  The sample's vectors and labels
 are broadcast; every document's cosine with every one of them is computed in
 blocks, exactly, and the nearest ``neighbours`` vote with their similarity.
 
@@ -16,9 +17,11 @@ and labels are no inputs of a score.
 
 Null, empty and blank texts have no terms; their score is the sample's share
 of label 1.  Labels that are null or lack a document are unused; of repeated
-label rows of one id the smallest label counts.  Without any training label
-all scores are 0.5.  Repeated rows are rows of their own; an empty table gives
-an empty result; all columns of the input are passed on.
+label rows of one id the smallest label counts, and of texts that share a
+labelled id the one of least terms, so reruns learn the same.  Without any
+training label all scores are 0.5.  Repeated rows and rows of a null doc_id
+are rows of their own; an empty table gives an empty result; all columns of
+the input are passed on.
 """
 
 from __future__ import annotations
@@ -44,7 +47,9 @@ for _c, _mark in enumerate(b" \n.,!?;:'\"|*#$%&@()[]{}<>/\\+-=_~^`", 6):
     _CLASS[_mark] = _c
 N_CLASSES = int(_CLASS.max()) + 1
 _REPEATS = 24
-N_TERMS = N_CLASSES * N_CLASSES + 2 * _REPEATS
+N_WORDS = 256  # hashed words
+WORD_WEIGHT = 0.25
+N_TERMS = N_WORDS + N_CLASSES * N_CLASSES + 2 * _REPEATS
 
 
 def held_out():
@@ -75,12 +80,15 @@ def terms(texts) -> np.ndarray:
     cls = _CLASS[raw]
     pairs = cls[:-1] * N_CLASSES + cls[1:]
     words, w_at = common.word_hashes(raw, at)
-    n_pairs = N_CLASSES * N_CLASSES
+    hashed = (words % np.uint64(N_WORDS)).astype(np.int64)
+    n_pairs = N_WORDS + N_CLASSES * N_CLASSES
     for i in range(n):
         a, z = at[i], at[i + 1]
         if z - a > 1:
-            out[i, :n_pairs] = np.bincount(pairs[a : z - 1], minlength=n_pairs) / (z - a - 1)
+            out[i, N_WORDS:n_pairs] = np.bincount(pairs[a : z - 1], minlength=N_CLASSES * N_CLASSES) / (z - a - 1)
         w = words[w_at[i] : w_at[i + 1]]
+        if len(w):
+            out[i, :N_WORDS] = np.bincount(hashed[w_at[i] : w_at[i + 1]], minlength=N_WORDS) * (WORD_WEIGHT / len(w))
         if len(w) > 1:
             same = float((w[1:] == w[:-1]).mean())
             fresh = freshness(w)
@@ -140,7 +148,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
                 "doc_id": b.column("doc_id"), "quality": b.column("quality").cast(pa.int32()), "x": pa.array([r.tobytes() for r in x], pa.binary()),
             })
 
-    got = rows.mapInArrow(run, "doc_id long, quality int, x binary").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    found = rows.mapInArrow(run, "doc_id long, quality int, x binary").groupBy("doc_id").agg(F.min(F.struct("quality", "x")).alias("t"))
+    got = found.select("doc_id", "t.quality", "t.x").toPandas().sort_values("doc_id")
     if not len(got):
         return None
     x = np.frombuffer(b"".join(got.x), np.float16).reshape(-1, N_TERMS).astype(np.float32)

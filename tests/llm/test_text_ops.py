@@ -318,6 +318,33 @@ def test_fingerprints(spark, small, small_docs):
         assert abs(got[i].n_distinct / len(a) - 1) < 0.4
 
 
+def test_fingerprints_by_brute_force():
+    """The sketch is the least hashes of all shingles, and so are its estimates."""
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [words(700, 1), words(700, 1) + " " + words(100, 2), words(90, 3), "a b", "", words(650, 1)]
+    got = fingerprints.sketches(pa.array(texts))
+    from millrace.llm import common
+
+    def least(text):
+        w = [t.encode() for t in brute.re.findall(brute.WORD, brute.low(text))]
+        hashes = set()
+        for s in {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else ():
+            data = b" ".join(s)
+            h, _ = common.shingle_hashes(*common.word_hashes(np.frombuffer(data, np.uint8), np.array([0, len(data)])))
+            hashes |= {int(x) for x in h}
+        return hashes
+
+    for text, sketch in zip(texts, got):
+        every = sorted({x >> 16 for x in least(text)})
+        assert [int(x) for x in sketch] == every[: fingerprints.K]
+    for a, b in ((0, 1), (0, 5), (0, 2), (3, 3)):
+        x, y = ({v >> 16 for v in least(texts[i])} for i in (a, b))
+        union = sorted(x | y)[: fingerprints.K]
+        assert fingerprints.resemblance(got[a], got[b]) == sum(v in x and v in y for v in union) / len(union)
+
+
 def test_fingerprints_edges(spark):
     got = {r.doc_id: r for r in fingerprints.neighbours(frame(spark, EDGE)).collect()}
     assert len(got) == len(EDGE)
@@ -580,6 +607,50 @@ def test_quality_edges(spark):
     assert quality.score(frame(spark, []), None).count() == 0
 
 
+def test_quality_votes_by_brute_force(spark, small):
+    """Terms, vectors, cosines, neighbours and votes, one text and one neighbour at a time."""
+    import math
+    from collections import Counter
+
+    import numpy as np
+    import pyarrow as pa
+
+    from millrace.llm import common
+
+    docs = read(spark, small, "documents").select("doc_id", "text")
+    labels = read(spark, small, "labels")
+    model = quality.fit(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    known = sorted((r.doc_id, r.quality) for r in labels.collect() if r.quality is not None and r.doc_id in texts and zlib.crc32(str(r.doc_id).encode()) % 4 != 2)
+    assert model.labels.tolist() == [q for _, q in known]
+
+    def terms(text):
+        data, out = text.encode(), np.zeros(quality.N_TERMS)
+        cls = [int(quality._CLASS[b]) for b in data]
+        for (a, b), n in Counter(zip(cls, cls[1:])).items():
+            out[quality.N_WORDS + a * quality.N_CLASSES + b] = n / (len(data) - 1)
+        raw = brute.re.findall(brute.WORD, brute.low(text))
+        for w in raw:
+            h = int(common.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))[0][0])
+            out[h % quality.N_WORDS] += quality.WORD_WEIGHT / len(raw)
+        repeats = quality.terms(pa.array([text]))[0][-2 * quality._REPEATS :] ** 2
+        out[-2 * quality._REPEATS :] = repeats
+        return np.sqrt(out)
+
+    def embed(x):
+        y = (x * model.idf) @ model.project
+        return y / np.linalg.norm(y)
+
+    vectors = [embed(terms(texts[i])) for i, _ in known]
+    assert np.allclose(vectors, model.vectors, atol=2e-3)
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    for i in sorted(texts)[:60]:
+        y = embed(terms(texts[i]))
+        near = sorted(((float(y @ v), q) for v, (_, q) in zip(model.vectors, known)), reverse=True)[: quality.NEIGHBOURS]
+        votes = [(max(c, 0.0) ** 4, q) for c, q in near]
+        assert math.isclose(got[i], sum(v * q for v, q in votes) / sum(v for v, _ in votes), abs_tol=0.02)
+
+
 def test_quality_repetition_of_whole_texts():
     """Repetition shows wherever it stands: behind 400 fresh words, and not in the opening alone."""
     import numpy as np
@@ -631,6 +702,8 @@ def test_licences_across_lines(spark):
         assert all(got[i + k].licences == got[i + k].best_licence == name and got[i + k].best_dice > (0.95 if k else 0.8) for k in range(3)), name
         assert got[i].n_licence_lines == 1 < got[i + 1].n_licence_lines < got[i + 2].n_licence_lines
     assert (got[1].licences, got[1].n_licence_lines, got[1].best_dice) == ("MIT", 1, 1.0)
+    whole = licences.scan(frame(spark, [(k, wrap(t, 60)) for k, (_, t) in enumerate(licences.PASSAGES)])).collect()
+    assert {r.doc_id: r.licences for r in whole} == {k: n for k, (n, _) in enumerate(licences.PASSAGES)}
     assert got[5].licences == "GPL-3.0,MIT" and got[5].n_licence_lines == 1 + len(textwrap.wrap(by_name["GPL-3.0"], 60))
     assert all(got[i].n_licence_lines == 0 and got[i].best_licence is None for i in (2, 3, 4))
 
