@@ -117,3 +117,29 @@ def fn_udf(spark, d):
         return x * 2
 
     return table(spark, d, "customer").select("c_custkey", twice("c_acctbal").alias("twice"))
+
+
+@query("fn_udaf", "SELECT o_custkey, MAX(o_totalprice) - MIN(o_totalprice) AS spread, COUNT(*) AS n FROM orders GROUP BY o_custkey")
+def fn_udaf(spark, d):
+    """A user's aggregate function over Arrow; it sees a whole group, here the orders of one customer."""
+    @F.pandas_udf("double")
+    def spread(x: pd.Series) -> float:
+        return float(x.max() - x.min())
+
+    @F.pandas_udf("long")
+    def size(x: pd.Series) -> int:
+        return len(x)
+
+    return table(spark, d, "orders").groupBy("o_custkey").agg(spread("o_totalprice").alias("spread"), size("o_totalprice").alias("n"))
+
+
+@query("fn_udtf", "SELECT p_partkey, CAST(generate_subscripts(string_split(p_name, ' '), 1) - 1 AS INTEGER) AS at, unnest(string_split(p_name, ' ')) AS word FROM part")
+def fn_udtf(spark, d):
+    """A user's table function, joined laterally."""
+    @F.udtf(returnType="at int, word string")
+    class Words:
+        def eval(self, text: str):
+            yield from enumerate(text.split(" "))
+
+    spark.udtf.register("millrace_words", Words)
+    return spark.sql("SELECT p_partkey, w.at, w.word FROM {part}, LATERAL millrace_words(p_name) w", part=table(spark, d, "part"))

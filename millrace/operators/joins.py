@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..registry import query
 from ..sources.tables import table
-from .relational import right_anti, right_semi
+from .relational import asof_join, right_anti, right_semi
 
 
 def _tables(spark, d, *names):
@@ -174,3 +174,16 @@ def join_hint_broadcast(spark, d):
     """Nations are a fixed list, so their broadcast has a fixed size."""
     c, n = _tables(spark, d, "customer", "nation")
     return c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey).groupBy("n_name").agg(F.count("*").alias("n"))
+
+
+@query(
+    "join_asof",
+    """SELECT p.event_id, p.user_id, v.event_id AS view_id, v.value AS view_value FROM (SELECT * FROM events WHERE event_type = 'purchase') p
+    ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts >= v.ts""",
+)
+def join_asof(spark, d):
+    """Each purchase with the user's last view before it."""
+    (e,) = _tables(spark, d, "events")
+    bought = e.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    seen = e.where("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("view_id"), F.col("value").alias("view_value"))
+    return asof_join(bought, seen, ["user_id"], "ts", ["view_id", "view_value"]).drop("ts")

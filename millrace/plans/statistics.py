@@ -71,3 +71,12 @@ def join_selectivity(left: ColumnStats | None, right: ColumnStats | None) -> flo
 
 def join_rows(left: TableStats, right: TableStats, left_key: str, right_key: str) -> float:
     return left.rows * right.rows * join_selectivity(left.columns.get(left_key), right.columns.get(right_key))
+
+
+def group_rows(table: TableStats, keys: list[str]) -> float:
+    """Groups of an aggregate: the product of the keys' distinct values (nulls being one more), at most the rows; one without keys."""
+    out = 1.0
+    for k in keys:
+        c = table.columns.get(k)
+        out *= c.distinct + (c.nulls > 0) if c else table.rows**0.5
+    return min(out, float(table.rows)) if keys else 1.0

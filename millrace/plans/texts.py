@@ -11,17 +11,29 @@ from ..registry import query
 from ..sources.tables import table
 
 
-def text(key: str, sql: str, duck: str | None = None) -> None:
-    """Register a SQL text; ``duck`` where the other engine's dialect differs."""
-    names = sorted(set(re.findall(r"\{(\w+)\}", sql)))
+def text(key: str, sql: str, duck: str | None = None, own: str | None = None) -> None:
+    """Register a SQL text; ``duck`` where the other engine's dialect differs, ``own`` where ours is to be planned in another way."""
+    own = own or sql
+    names = sorted(set(re.findall(r"\{(\w+)\}", own)))
 
     def run(spark, d):
-        return spark.sql(sql, **{n: table(spark, d, n) for n in names})
+        return spark.sql(own, **{n: table(spark, d, n) for n in names})
 
     run.__name__ = key
     query(key, re.sub(r"\{(\w+)\}", r"\1", duck or sql))(run)
 
 
+def not_in(value: str, key: str, rows: str) -> str:
+    """``value NOT IN (SELECT key FROM rows)`` by an ordinary anti join.
+
+    As NOT IN it would be a null-aware join, for which the whole subquery is
+    broadcast, whatever its size.  One aggregate tells whether it is empty or
+    holds a null.
+    """
+    least = f"(SELECT COUNT(*) FROM {rows} n) = 0 OR {value} IS NOT NULL AND (SELECT COUNT(*) - COUNT({key}) FROM {rows} n) = 0"
+    return f"NOT EXISTS (SELECT 1 FROM {rows} n WHERE n.{key} = {value}) AND ({least})"
+
+
 M = "CAST({} AS DECIMAL(18,2))".format  # amounts: decimal sums do not depend on their order
 NET = "CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))"
 
@@ -33,8 +45,10 @@ text("cte_reuse", f"""WITH y AS (SELECT o_custkey AS k, year(o_orderdate) AS yr,
     WHERE a.yr = 1996 AND b.s > a.s""")
 text("derived_table", "SELECT k, n FROM (SELECT o_custkey, COUNT(*) FROM {orders} GROUP BY o_custkey) AS t(k, n) WHERE n > 14")
 text("subq_in", "SELECT c_custkey FROM {customer} WHERE c_custkey IN (SELECT o_custkey FROM {orders} WHERE o_totalprice > 400000)")
-text("subq_not_in", "SELECT c_custkey FROM {customer} WHERE c_custkey NOT IN (SELECT o_custkey FROM {orders} WHERE o_totalprice > 200000)")
-text("subq_not_in_null", "SELECT c_custkey FROM {customer} WHERE c_custkey NOT IN (SELECT CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_custkey END FROM {orders})")
+text("subq_not_in", "SELECT c_custkey FROM {customer} WHERE c_custkey NOT IN (SELECT o_custkey FROM {orders} WHERE o_totalprice > 200000)",
+    own="SELECT c_custkey FROM {customer} c WHERE " + not_in("c.c_custkey", "o_custkey", "(SELECT o_custkey FROM {orders} WHERE o_totalprice > 200000)"))
+text("subq_not_in_null", "SELECT c_custkey FROM {customer} WHERE c_custkey NOT IN (SELECT CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_custkey END FROM {orders})",
+    own="SELECT c_custkey FROM {customer} c WHERE " + not_in("c.c_custkey", "k", "(SELECT CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_custkey END AS k FROM {orders})"))
 text("subq_exists", "SELECT o_orderpriority, COUNT(*) AS n FROM {orders} o WHERE EXISTS (SELECT 1 FROM {lineitem} l WHERE l.l_orderkey = o.o_orderkey AND l.l_quantity > 45) GROUP BY o_orderpriority")
 text("subq_not_exists", "SELECT COUNT(*) AS n FROM {orders} o WHERE NOT EXISTS (SELECT 1 FROM {lineitem} l WHERE l.l_orderkey = o.o_orderkey AND l.l_discount > 0.05)")
 text("subq_exists_or", """SELECT c_custkey FROM {customer} c WHERE EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 450000)
@@ -100,7 +114,9 @@ text("tpch_q14", f"""SELECT ROUND(100.0 * CAST(SUM(CASE WHEN p_type LIKE 'PROMO%
 text("tpch_q15", f"""WITH revenue AS (SELECT l_suppkey AS supplier_no, SUM({NET}) AS total FROM {{lineitem}} WHERE l_shipdate >= DATE '1996-01-01' AND l_shipdate < DATE '1996-04-01' GROUP BY l_suppkey)
     SELECT s_suppkey, s_name, ROUND(CAST(total AS DOUBLE), 2) AS total_revenue FROM {{supplier}}, revenue WHERE s_suppkey = supplier_no AND total = (SELECT MAX(total) FROM revenue) ORDER BY s_suppkey""")
 text("tpch_q16", f"""SELECT p_brand, p_type, p_size, COUNT(DISTINCT ps_suppkey) AS supplier_cnt FROM {PS} ps, {{part}} WHERE p_partkey = ps_partkey AND p_brand <> 'Brand#5' AND p_type NOT LIKE 'PROMO%'
-    AND p_size IN (3, 9, 14, 19, 23, 36, 45, 49) AND ps_suppkey NOT IN (SELECT s_suppkey FROM {{supplier}} WHERE s_acctbal < 0) GROUP BY p_brand, p_type, p_size ORDER BY supplier_cnt DESC, p_brand, p_type, p_size""")
+    AND p_size IN (3, 9, 14, 19, 23, 36, 45, 49) AND ps_suppkey NOT IN (SELECT s_suppkey FROM {{supplier}} WHERE s_acctbal < 0) GROUP BY p_brand, p_type, p_size ORDER BY supplier_cnt DESC, p_brand, p_type, p_size""",
+    own=f"""SELECT p_brand, p_type, p_size, COUNT(DISTINCT ps_suppkey) AS supplier_cnt FROM {PS} ps, {{part}} WHERE p_partkey = ps_partkey AND p_brand <> 'Brand#5' AND p_type NOT LIKE 'PROMO%'
+    AND p_size IN (3, 9, 14, 19, 23, 36, 45, 49) AND {not_in('ps_suppkey', 's_suppkey', '(SELECT s_suppkey FROM {supplier} WHERE s_acctbal < 0)')} GROUP BY p_brand, p_type, p_size ORDER BY supplier_cnt DESC, p_brand, p_type, p_size""")
 text("tpch_q17", f"""SELECT ROUND(CAST(SUM({M('l_extendedprice')}) AS DOUBLE) / 7.0, 2) AS avg_yearly FROM {{lineitem}}, {{part}} WHERE p_partkey = l_partkey AND p_brand = 'Brand#3' AND p_size < 30
     AND l_quantity < (SELECT 0.4 * AVG(i.l_quantity) FROM {{lineitem}} i WHERE i.l_partkey = p_partkey)""")
 text("tpch_q18", f"""SELECT c_name, c_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS o_orderdate, o_totalprice, CAST(SUM({M('l_quantity')}) AS DOUBLE) AS qty FROM {{customer}}, {{orders}}, {{lineitem}}
@@ -199,3 +215,28 @@ text("star_min_of_groups", f"""WITH r AS (SELECT l_suppkey AS k, l_partkey AS p,
 text("star_exists_after", """SELECT c_nationkey, c_mktsegment, COUNT(*) AS cnt1, MIN(c_acctbal) AS lo, MAX(c_acctbal) AS hi, COUNT(DISTINCT c_custkey) AS cnt2 FROM {customer} c WHERE EXISTS (SELECT 1 FROM {orders} WHERE c.c_custkey = o_custkey AND year(o_orderdate) = 1996)
     AND (EXISTS (SELECT 1 FROM {events} WHERE c.c_custkey = user_id AND event_type = 'view') OR EXISTS (SELECT 1 FROM {orders} WHERE c.c_custkey = o_custkey AND o_orderpriority = '1-URGENT' AND o_totalprice > 450000))
     GROUP BY c_nationkey, c_mktsegment ORDER BY c_nationkey, c_mktsegment LIMIT 100""")
+
+# -- further constructs: names with spaces, orders by what is not selected, many relations, windows of time ----------
+_SHIPPED = "SELECT o_orderpriority, SUM(CASE WHEN l_shipdate <= o_orderdate + INTERVAL 30 DAY THEN 1 ELSE 0 END) AS {q}30 days{q}, SUM(CASE WHEN l_shipdate > o_orderdate + INTERVAL 30 DAY THEN 1 ELSE 0 END) AS {q}over 30 days{q}, " \
+    "COUNT(DISTINCT l_orderkey) AS {q}order count{q} FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey GROUP BY o_orderpriority"
+text("quoted_alias", _SHIPPED.format(q="`"), _SHIPPED.format(q='"').replace("SUM(CASE", "(SUM(CASE").replace("ELSE 0 END)", "ELSE 0 END))::BIGINT").replace("o_orderdate +", "o_orderdate::TIMESTAMP +"))
+text("sort_unselected_aggregate", "SELECT o_orderpriority FROM {orders} GROUP BY o_orderpriority ORDER BY SUM(CAST(o_totalprice AS DECIMAL(18,2))) DESC, COUNT(*), o_orderpriority")
+text("join_18_relations", f"""WITH per_order AS (SELECT l_orderkey AS k, COUNT(*) AS lines_n FROM {{lineitem}} GROUP BY l_orderkey), per_customer AS (SELECT o_custkey AS k, COUNT(*) AS orders_n FROM {{orders}} GROUP BY o_custkey),
+    first_order AS (SELECT o_custkey AS k, MIN(o_orderdate) AS day1 FROM {{orders}} GROUP BY o_custkey), last_order AS (SELECT o_custkey AS k, MAX(o_orderdate) AS day2 FROM {{orders}} GROUP BY o_custkey),
+    per_supplier AS (SELECT l_suppkey AS k, COUNT(*) AS supplied_n FROM {{lineitem}} GROUP BY l_suppkey), per_part AS (SELECT l_partkey AS k, COUNT(*) AS sold_n FROM {{lineitem}} GROUP BY l_partkey),
+    per_brand AS (SELECT p_brand AS k, COUNT(*) AS parts_n FROM {{part}} GROUP BY p_brand), per_segment AS (SELECT c_mktsegment AS k, COUNT(*) AS customers_n FROM {{customer}} GROUP BY c_mktsegment),
+    per_nation AS (SELECT s_nationkey AS k, COUNT(*) AS suppliers_n FROM {{supplier}} GROUP BY s_nationkey)
+    SELECT cr.r_name AS customer_region, sr.r_name AS supplier_region, COUNT(*) AS n, CAST(SUM({M('l_extendedprice')}) AS DOUBLE) AS price, CAST(SUM(lines_n + orders_n + supplied_n + sold_n) AS BIGINT) AS around,
+        CAST(SUM(parts_n + customers_n + suppliers_n) AS BIGINT) AS beside, MIN(CAST(day1 AS DATE)) AS day1, MAX(CAST(day2 AS DATE)) AS day2
+    FROM {{lineitem}} l, {{orders}} o, {{customer}} c, {{part}} p, {{supplier}} s, {{nation}} cn, {{nation}} sn, {{region}} cr, {{region}} sr,
+        per_order, per_customer, first_order, last_order, per_supplier, per_part, per_brand, per_segment, per_nation
+    WHERE l.l_orderkey = o.o_orderkey AND o.o_custkey = c.c_custkey AND l.l_partkey = p.p_partkey AND l.l_suppkey = s.s_suppkey AND c.c_nationkey = cn.n_nationkey AND s.s_nationkey = sn.n_nationkey
+        AND cn.n_regionkey = cr.r_regionkey AND sn.n_regionkey = sr.r_regionkey AND per_order.k = o.o_orderkey AND per_customer.k = c.c_custkey AND first_order.k = c.c_custkey AND last_order.k = c.c_custkey
+        AND per_supplier.k = s.s_suppkey AND per_part.k = p.p_partkey AND per_brand.k = p.p_brand AND per_segment.k = c.c_mktsegment AND per_nation.k = sn.n_nationkey AND p.p_size BETWEEN 5 AND 30
+    GROUP BY cr.r_name, sr.r_name""")
+text("ext_sliding", "SELECT date_format(window.start, 'yyyy-MM-dd HH:mm') AS window_begin, event_type, COUNT(*) AS n FROM {events} GROUP BY window(ts, '2 hours', '1 hour'), event_type",
+    """SELECT strftime(window_begin, '%Y-%m-%d %H:%M') AS window_begin, event_type, COUNT(*) AS n
+    FROM (SELECT unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS window_begin, event_type FROM events) t GROUP BY 1, 2""")
+text("ext_session", "SELECT user_id, date_format(session_window.start, 'yyyy-MM-dd HH:mm:ss') AS session_begin, COUNT(*) AS n FROM {events} GROUP BY user_id, session_window(ts, '6 hours')",
+    """SELECT user_id, strftime(MIN(ts), '%Y-%m-%d %H:%M:%S') AS session_begin, COUNT(*) AS n FROM (SELECT user_id, ts, SUM(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM
+    (SELECT user_id, ts, event_id, CASE WHEN ts < LAG(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events) a) b GROUP BY user_id, k""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ..errors import CatalogError, StorageError
+from ..errors import AlreadyExistsError, NotFoundError, StorageError
 from ..plans.statistics import TableStats, profile
 
 
@@ -17,12 +17,12 @@ class Catalog:
 
     def create_database(self, name: str, if_not_exists: bool = False) -> None:
         if self.spark.catalog.databaseExists(name) and not if_not_exists:
-            raise CatalogError(f"database {name} exists")
+            raise AlreadyExistsError(f"database {name} exists")
         self.spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}`")
 
     def drop_database(self, name: str, if_exists: bool = False) -> None:
         if not self.spark.catalog.databaseExists(name) and not if_exists:
-            raise CatalogError(f"database {name} does not exist")
+            raise NotFoundError(f"database {name} does not exist")
         self.spark.sql(f"DROP DATABASE IF EXISTS `{name}` CASCADE")
 
     def databases(self) -> list[str]:
@@ -31,12 +31,16 @@ class Catalog:
     def tables(self, database: str = "default") -> list[str]:
         return sorted(t.name for t in self.spark.catalog.listTables(database))
 
+    def table_sources(self, database: str = "default") -> dict[str, list[str]]:
+        """The files that each table or view reads, by name; none for rows in memory."""
+        return {name: sorted(self.spark.table(name).inputFiles()) for name in self.tables(database)}
+
     def create_table(self, name: str, schema: T.StructType, partition_keys: list[str] | None = None, if_not_exists: bool = False) -> None:
         """An empty stored Parquet table."""
         if self.spark.catalog.tableExists(name):
             if if_not_exists:
                 return
-            raise CatalogError(f"table {name} exists")
+            raise AlreadyExistsError(f"table {name} exists")
         writer = self.spark.createDataFrame([], schema).write.format("parquet")
         (writer.partitionBy(*partition_keys) if partition_keys else writer).saveAsTable(name)
 
@@ -60,7 +64,7 @@ class Catalog:
         elif self.spark.catalog.tableExists(name):
             self.spark.sql(f"DROP TABLE {name}")
         elif not if_exists:
-            raise CatalogError(f"table {name} does not exist")
+            raise NotFoundError(f"table {name} does not exist")
         self._stats.pop(name, None)
 
     def schema(self, name: str) -> T.StructType:

@@ -9,25 +9,33 @@ from pyspark.sql import types as T
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
-
-def _schema(text: str) -> T.StructType:
-    kinds = {"L": T.LongType(), "I": T.IntegerType(), "D": T.DoubleType(), "S": T.StringType(), "T": T.DateType()}
-    return T.StructType([T.StructField(n, kinds[k], False) for n, k in (x.split(":") for x in text.split())])
-
-
-#: Explicit schemas of the eight TPC-H tables, for CSV files without inference.
+# fixed values: the eight TPC-H tables, for CSV files without inference
 TPCH_SCHEMAS = {
-    "customer": _schema("c_custkey:L c_name:S c_address:S c_nationkey:L c_phone:S c_acctbal:D c_mktsegment:S c_comment:S"),
-    "lineitem": _schema(
-        "l_orderkey:L l_partkey:L l_suppkey:L l_linenumber:I l_quantity:D l_extendedprice:D l_discount:D l_tax:D l_returnflag:S "
-        "l_linestatus:S l_shipdate:T l_commitdate:T l_receiptdate:T l_shipinstruct:S l_shipmode:S l_comment:S"
+    "customer": (
+        "c_custkey BIGINT NOT NULL, c_name STRING NOT NULL, c_address STRING NOT NULL, c_nationkey BIGINT NOT NULL, c_phone STRING NOT NULL, "
+        "c_acctbal DOUBLE NOT NULL, c_mktsegment STRING NOT NULL, c_comment STRING NOT NULL"
+    ),
+    "lineitem": (
+        "l_orderkey BIGINT NOT NULL, l_partkey BIGINT NOT NULL, l_suppkey BIGINT NOT NULL, l_linenumber INT NOT NULL, l_quantity DOUBLE NOT NULL, "
+        "l_extendedprice DOUBLE NOT NULL, l_discount DOUBLE NOT NULL, l_tax DOUBLE NOT NULL, l_returnflag STRING NOT NULL, l_linestatus STRING NOT NULL, "
+        "l_shipdate DATE NOT NULL, l_commitdate DATE NOT NULL, l_receiptdate DATE NOT NULL, l_shipinstruct STRING NOT NULL, l_shipmode STRING NOT NULL, "
+        "l_comment STRING NOT NULL"
+    ),
+    "nation": "n_nationkey BIGINT NOT NULL, n_name STRING NOT NULL, n_regionkey BIGINT NOT NULL, n_comment STRING NOT NULL",
+    "orders": (
+        "o_orderkey BIGINT NOT NULL, o_custkey BIGINT NOT NULL, o_orderstatus STRING NOT NULL, o_totalprice DOUBLE NOT NULL, o_orderdate DATE NOT NULL, "
+        "o_orderpriority STRING NOT NULL, o_clerk STRING NOT NULL, o_shippriority INT NOT NULL, o_comment STRING NOT NULL"
+    ),
+    "part": (
+        "p_partkey BIGINT NOT NULL, p_name STRING NOT NULL, p_mfgr STRING NOT NULL, p_brand STRING NOT NULL, p_type STRING NOT NULL, p_size INT NOT NULL, "
+        "p_container STRING NOT NULL, p_retailprice DOUBLE NOT NULL, p_comment STRING NOT NULL"
+    ),
+    "partsupp": "ps_partkey BIGINT NOT NULL, ps_suppkey BIGINT NOT NULL, ps_availqty INT NOT NULL, ps_supplycost DOUBLE NOT NULL, ps_comment STRING NOT NULL",
+    "region": "r_regionkey BIGINT NOT NULL, r_name STRING NOT NULL, r_comment STRING NOT NULL",
+    "supplier": (
+        "s_suppkey BIGINT NOT NULL, s_name STRING NOT NULL, s_address STRING NOT NULL, s_nationkey BIGINT NOT NULL, s_phone STRING NOT NULL, "
+        "s_acctbal DOUBLE NOT NULL, s_comment STRING NOT NULL"
     ),
-    "nation": _schema("n_nationkey:L n_name:S n_regionkey:L n_comment:S"),
-    "orders": _schema("o_orderkey:L o_custkey:L o_orderstatus:S o_totalprice:D o_orderdate:T o_orderpriority:S o_clerk:S o_shippriority:I o_comment:S"),
-    "part": _schema("p_partkey:L p_name:S p_mfgr:S p_brand:S p_type:S p_size:I p_container:S p_retailprice:D p_comment:S"),
-    "partsupp": _schema("ps_partkey:L ps_suppkey:L ps_availqty:I ps_supplycost:D ps_comment:S"),
-    "region": _schema("r_regionkey:L r_name:S r_comment:S"),
-    "supplier": _schema("s_suppkey:L s_name:S s_address:S s_nationkey:L s_phone:S s_acctbal:D s_comment:S"),
 }
 
 # fixed values: the tables of TPC-DS
@@ -47,13 +55,13 @@ def register(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = TABLES)
         table(spark, sf_dir, name).createOrReplaceTempView(name)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, delimiter: str = ",", header: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, delimiter: str = ",", header: bool = True) -> DataFrame:
     """A CSV file or a folder of part files; without a schema, types are inferred in one more pass."""
     reader = spark.read.option("header", header).option("sep", delimiter)
     return reader.schema(schema).csv(path) if schema is not None else reader.option("inferSchema", True).csv(path)
 
 
-def register_csv(spark: SparkSession, name: str, path: str, schema: T.StructType | None = None, delimiter: str = ",", header: bool = True) -> DataFrame:
+def register_csv(spark: SparkSession, name: str, path: str, schema: T.StructType | str | None = None, delimiter: str = ",", header: bool = True) -> DataFrame:
     df = read_csv(spark, path, schema, delimiter, header)
     df.createOrReplaceTempView(name)
     return df

@@ -108,3 +108,66 @@ def test_sources(spark, tmp_path):
     data_path = str(tmp_path / "t.parquet")
     spark.range(3).write.parquet(data_path)
     assert tables.register_parquet(spark, "p3", data_path).count() == 3
+
+
+def test_error_kinds(spark):
+    from millrace import errors as e
+
+    for kind, sql in ((e.ParseError, "SELEC 1"), (e.NotFoundError, "SELECT * FROM not_there"), (e.PlanningError, "SELECT nope FROM (SELECT 1 AS a)"), (e.SourceError, "SELECT * FROM parquet.`/not/there`")):
+        with pytest.raises(kind):
+            statements.run(spark, sql)
+    statements.run(spark, "CREATE TABLE twice_made (a INT) USING parquet")
+    with pytest.raises(e.AlreadyExistsError):
+        statements.run(spark, "CREATE TABLE twice_made (a INT) USING parquet")
+    statements.run(spark, "DROP TABLE twice_made")
+
+
+def test_quoted_names_and_schema_views(spark):
+    assert statements.run(spark, """SELECT 1 AS "a b", 'it''s "x"' AS "c""d" """).columns == ["a b", 'c"d']
+    assert statements.run(spark, """SELECT 'it is "x"' AS c""").first().c == 'it is "x"'
+    spark.createDataFrame(ROWS, SCHEMA).createOrReplaceTempView("schema_people")
+    got = statements.run(spark, "SELECT column_name, is_nullable, data_type FROM information_schema.columns WHERE table_name = 'schema_people' ORDER BY ordinal_position")
+    assert [tuple(r) for r in got.collect()] == [("id", "NO", "bigint"), ("name", "YES", "string")]
+    assert statements.run(spark, "SELECT table_type FROM Information_Schema.tables WHERE table_name = 'schema_people'").first()[0] == "VIEW"
+    assert statements.run(spark, "SELECT 'information_schema.tables' AS t").first().t == "information_schema.tables"
+    assert "default" in {r.schema_name for r in statements.run(spark, "SELECT * FROM information_schema.schemata").collect()}
+
+
+def test_configuration(tmp_path):
+    from millrace.config import Config
+    from millrace.errors import ConfigError
+
+    path = tmp_path / "m.toml"
+    config = Config(master="local[2]", data_dir='C:\\x "y"', csv={"a b": "p"}, settings={"spark.x": "1"})
+    config.save(path)
+    assert Config.load(path) == config and config.spark_settings()["spark.x"] == "1"
+    for text in ("nope = 1", "app = 3", "app = ", "csv = 'x'"):
+        path.write_text(text)
+        with pytest.raises(ConfigError):
+            Config.load(path)
+
+
+def test_prompt(spark, capsys):
+    from millrace.__main__ import prompt
+
+    assert prompt(spark, "csv", ["SELECT 1 AS a,", "2 AS b;", "SELEC;", "SELECT 3 AS c;", "exit", "SELECT 4 AS d;"]) == 0
+    out = capsys.readouterr()
+    assert out.out.split() == ["a,b", "1,2", "c", "3"] and out.err.startswith("ParseError")
+
+
+def test_sources_and_estimates(spark, small):
+    from millrace.plans.statistics import group_rows
+
+    tables.register_parquet(spark, "source_region", f"{small}/region.parquet")
+    assert Catalog(spark).table_sources()["source_region"][0].endswith("region.parquet")
+    s = profile(spark.createDataFrame(ROWS, SCHEMA))
+    assert group_rows(s, []) == 1 and group_rows(s, ["name"]) == 6 and group_rows(s, ["id", "name"]) == 8
+
+
+def test_asof_join(spark):
+    from millrace.operators.relational import asof_join
+
+    left = spark.createDataFrame([("a", 1, "x"), ("a", 5, "y"), ("b", 5, "z"), (None, 5, "n"), ("a", 5, "y")], "k string, t int, v string")
+    right = spark.createDataFrame([("a", 2, 20), ("a", 5, 50), ("b", 6, 60), ("a", 3, None), (None, 1, 7)], "k string, t int, w int")
+    got = sorted((r.k or "", r.t, r.v, r.w) for r in asof_join(left, right, ["k"], "t", ["w"]).collect())
+    assert got == [("", 5, "n", None), ("a", 1, "x", None), ("a", 5, "y", 50), ("a", 5, "y", 50), ("b", 5, "z", None)]

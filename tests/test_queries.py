@@ -60,3 +60,16 @@ def test_whole_sorts_keep_every_row_in_order(spark, duck, small, key):
     assert len(ours) > len(head) and ours[: len(head)] == head
     if "nulls" in key:
         assert len({r[0] is None for r in ours}) == 2
+
+
+@pytest.mark.parametrize("key", ["subq_not_in", "subq_not_in_null", "tpch_q16"])
+def test_not_in_shuffles_where_broadcasts_are_off(spark, small, key):
+    from millrace.plans.statements import explain_plan
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = explain_plan(all_queries()[key](spark, small))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "LeftAnti" in plan and "Broadcast" not in plan and "Cartesian" not in plan
