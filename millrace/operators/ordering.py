@@ -16,35 +16,6 @@ def sort_multi(spark, d):
     return table(spark, d, "customer").select(F.col("c_mktsegment").alias("segment"), "c_custkey").orderBy(asc_last("segment"), asc_last("c_custkey"))
 
 
-@query("sort_desc", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")
-def sort_desc(spark, d):
-    return top_k(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), [desc_last("o_totalprice"), asc_last("o_orderkey")], 50)
-
-
-@query("sort_nulls", "SELECT k, o_orderkey FROM (SELECT CASE WHEN o_orderkey % 5 > 0 THEN NULL ELSE o_orderkey END AS k, o_orderkey FROM orders) t ORDER BY k NULLS FIRST, o_orderkey DESC LIMIT 20")
-def sort_nulls(spark, d):
-    k = F.when(F.col("o_orderkey") % 5 > 0, F.lit(None)).otherwise(F.col("o_orderkey"))
-    return table(spark, d, "orders").select(k.alias("k"), "o_orderkey").orderBy(F.col("k").asc_nulls_first(), desc_last("o_orderkey")).limit(20)
-
-
-@query("sort_nulls_last", "SELECT k, o_orderkey FROM (SELECT CASE WHEN o_orderkey % 5 > 0 THEN NULL ELSE o_orderkey END AS k, o_orderkey FROM orders) t ORDER BY k NULLS LAST, o_orderkey LIMIT 20")
-def sort_nulls_last(spark, d):
-    k = F.when(F.col("o_orderkey") % 5 > 0, F.lit(None)).otherwise(F.col("o_orderkey"))
-    return table(spark, d, "orders").select(k.alias("k"), "o_orderkey").orderBy(asc_last("k"), asc_last("o_orderkey")).limit(20)
-
-
-@query("sort_expr", "SELECT n_name, n_regionkey FROM nation ORDER BY CASE WHEN n_regionkey = 2 THEN 0 ELSE 1 END, abs(n_nationkey - 12), n_name LIMIT 10")
-def sort_expr(spark, d):
-    first = F.when(F.col("n_regionkey") == 2, 0).otherwise(1)
-    return table(spark, d, "nation").orderBy(first, F.abs(F.col("n_nationkey") - 12), "n_name").limit(10).select("n_name", "n_regionkey")
-
-
-@query("sort_ordinal", "SELECT c_mktsegment, COUNT(*) AS n FROM customer GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3")
-def sort_ordinal(spark, d):
-    return spark.sql("SELECT c_mktsegment, COUNT(*) AS n FROM {c} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3", c=table(spark, d, "customer"))
-
-
-# the five sorts above take the first rows, as their SQL does; these return the whole sorted tables
 _K = "SELECT CASE WHEN o_orderkey % 5 > 0 THEN NULL ELSE o_orderkey END AS k, o_orderkey FROM orders"
 
 
@@ -53,29 +24,29 @@ def _keys(spark, d):
     return table(spark, d, "orders").select(k.alias("k"), "o_orderkey")
 
 
-@query("sort_desc_all", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey")
-def sort_desc_all(spark, d):
+@query("sort_desc", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey")
+def sort_desc(spark, d):
     return table(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy(desc_last("o_totalprice"), asc_last("o_orderkey"))
 
 
-@query("sort_nulls_all", f"SELECT k, o_orderkey FROM ({_K}) t ORDER BY k NULLS FIRST, o_orderkey DESC")
-def sort_nulls_all(spark, d):
+@query("sort_nulls", f"SELECT k, o_orderkey FROM ({_K}) t ORDER BY k NULLS FIRST, o_orderkey DESC")
+def sort_nulls(spark, d):
     return _keys(spark, d).orderBy(F.col("k").asc_nulls_first(), desc_last("o_orderkey"))
 
 
-@query("sort_nulls_last_all", f"SELECT k, o_orderkey FROM ({_K}) t ORDER BY k NULLS LAST, o_orderkey")
-def sort_nulls_last_all(spark, d):
+@query("sort_nulls_last", f"SELECT k, o_orderkey FROM ({_K}) t ORDER BY k NULLS LAST, o_orderkey")
+def sort_nulls_last(spark, d):
     return _keys(spark, d).orderBy(asc_last("k"), asc_last("o_orderkey"))
 
 
-@query("sort_expr_all", "SELECT n_name, n_regionkey FROM nation ORDER BY CASE WHEN n_regionkey = 2 THEN 0 ELSE 1 END, abs(n_nationkey - 12), n_name")
-def sort_expr_all(spark, d):
+@query("sort_expr", "SELECT n_name, n_regionkey FROM nation ORDER BY CASE WHEN n_regionkey = 2 THEN 0 ELSE 1 END, abs(n_nationkey - 12), n_name")
+def sort_expr(spark, d):
     first = F.when(F.col("n_regionkey") == 2, 0).otherwise(1)
     return table(spark, d, "nation").orderBy(first, F.abs(F.col("n_nationkey") - 12), "n_name").select("n_name", "n_regionkey")
 
 
-@query("sort_ordinal_all", "SELECT c_mktsegment, COUNT(*) AS n FROM customer GROUP BY 1 ORDER BY 2 DESC, 1")
-def sort_ordinal_all(spark, d):
+@query("sort_ordinal", "SELECT c_mktsegment, COUNT(*) AS n FROM customer GROUP BY 1 ORDER BY 2 DESC, 1")
+def sort_ordinal(spark, d):
     return spark.sql("SELECT c_mktsegment, COUNT(*) AS n FROM {c} GROUP BY 1 ORDER BY 2 DESC, 1", c=table(spark, d, "customer"))
 
 
