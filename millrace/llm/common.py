@@ -6,7 +6,9 @@ handling and connected components.  Nothing here keeps state between queries.
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -38,7 +40,9 @@ def shared_dir(spark: SparkSession) -> str:
         else:
             if not re.match(r"local(\[|$)", spark.sparkContext.master):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            base = "file://" + tempfile.mkdtemp(prefix="millrace-")
+            folder = tempfile.mkdtemp(prefix="millrace-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            base = "file://" + folder
             spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/millrace-{uuid.uuid4().hex}"
 
@@ -311,31 +315,30 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     number of rounds grows with the logarithm of the longest chain.
     """
 
-    def lowest(pairs: DataFrame, name: str, value: Column) -> DataFrame:
-        return pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("rows")).select("u", value.alias(name), "rows")
+    def lowest(pairs: DataFrame, value: Column) -> DataFrame:
+        return pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("rows")).select("u", value.alias("m"), "rows")
 
-    now = materialize(
-        edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    )
+    def written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+        """A table of the distinct edges, their number and a 128-bit digest of them."""
+        out = materialize(edges.where("u <> v").distinct())
+        return out, tuple(out.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", F.lit(1)))).first())
+
+    now, known = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
     for _ in range(max_rounds):
         # a round is over when its edges are stars that no step changes
-        n = 2 * now.count()
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = met(both, lowest(both, "m", F.least("u", "m")), ["u"], n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialize(large.where("u <> v").distinct())
-        small = met(large, lowest(large, "m", F.col("m")), ["u"], n)
+        large = met(both, lowest(both, F.least("u", "m")), ["u"], 2 * known[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.where("u <> v").distinct()
+        small = met(large, lowest(large, F.col("m")), ["u"], 2 * known[0])
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
-        after = materialize(small.where("u <> v").distinct())
-        same = (
-            now.select("u", "v", F.lit(1).alias("s"))
-            .union(after.select("u", "v", F.lit(-1).alias("s")))
-            .groupBy("u", "v").agg(F.sum("s").alias("s")).where("s <> 0").limit(1).count() == 0
-        )
-        discard(now, large)
-        now = after
-        if same:
+        before, told = now, known
+        now, known = written(small)
+        discard(before)
+        if known == told:
             break
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     tops = now.select(F.col("v").alias("node"), F.col("v").alias("component_id")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component_id")).union(tops)
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("component_id")).union(tops)
+    out._millrace_path = now._millrace_path  # for discard
+    return out

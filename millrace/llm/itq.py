@@ -34,6 +34,7 @@ result.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -318,12 +319,8 @@ def dedup(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     classes = common.materialize(classes.withColumn("id", F.col("a")).withColumn("length", F.size("vector")))
     # as many rows as there are lengths of vectors
     lengths = sorted((r.length, r.n) for r in classes.groupBy("length").agg(F.count("*").alias("n")).collect())
-    found = None
-    for length, n in lengths:
-        if n > 1:
-            got = links_of(classes.where(F.col("length") == length), n, length, threshold)
-            found = got if found is None else found.union(got)
-    found = found if found is not None else spark.createDataFrame([], "u long, v long, n long")
+    tables = [links_of(classes.where(F.col("length") == length), n, length, threshold) for length, n in lengths if n > 1]
+    found = reduce(DataFrame.union, tables, spark.createDataFrame([], "u long, v long, n long"))
     counted = found.where("n is not null").groupBy("u").agg(F.sum("n").alias("links"))
     named = common.materialize(classes.select("a", "b", "id", "copies", "rep").join(counted, F.col("id") == F.col("u"), "left").drop("u"))
     # a class without any id of its own still joins others, under a number that no vector has
@@ -332,13 +329,13 @@ def dedup(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     n_edges = edges.count()
     edges = _named(_named(edges, key, "u", n_edges), key, "v", n_edges)
     parts = common.connected_components(edges)
-    named = named.join(parts, F.coalesce("rep", "id") == F.col("node"), "left").drop("node", "id").withColumn("rows", F.col("copies"))
-    named = common.materialize(named)
-    known = keyed.where("a is not null").select("vec_id", "a", "b")
+    known = named.join(parts, F.coalesce("rep", "id") == F.col("node"), "left").drop("node", "id").withColumn("rows", F.col("copies"))
+    known = common.materialize(known)
+    common.discard(classes, named, parts, *tables)
     component = F.coalesce("component_id", "rep", "vec_id")
-    known = common.met(known, named, ["a", "b"], vectors.count()).select(
+    mine = common.met(keyed.where("a is not null").select("vec_id", "a", "b"), known, ["a", "b"], vectors.count()).select(
         "vec_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), component.cast("long").alias("component_id")
     )
     others = keyed.where("a is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"))
-    rows = known.union(others)
+    rows = mine.union(others)
     return rows.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -41,10 +41,11 @@ from . import common
 
 WIDTH = 5
 NUM, DEN = 75, 100  # links: DEN * |A and B| >= NUM * |A or B|
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 8 << 20
+CHUNK_SHINGLES = 2 << 20
 MAX_PARTS = 1 << 15  # of a shuffle; beyond that a task has several buckets, one after the other
 SALT_ROWS = 1000
-REST_ROWS = 2000
+REST_ROWS = 250
 LEAF = 64
 
 
@@ -176,7 +177,7 @@ def _shingled(parts: int):
                 hashes.append(h)
                 sizes.append(np.diff(at))
                 held += len(h)
-                if held >= 3 << 20:
+                if held >= CHUNK_SHINGLES:
                     yield from flush((pid << 20) + seq, ids, hashes, sizes)
                     seq, ids, hashes, sizes, held = seq + 1, [], [], [], 0
             if ids:
@@ -497,11 +498,10 @@ def links_of(sets: DataFrame) -> DataFrame:
     n_postings = own.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
     lists = postings.groupBy("t").agg(F.min("x").alias("p"), F.max("x").alias("last"), F.count("*").alias("rows")).where("p <> last").drop("last")
     pairs = common.materialize(common.met(postings, lists, ["t"], n_postings).where("x <> p").select("p", "x").distinct())
-    n_pairs = pairs.count()
     size = pairs.groupBy("p").agg(F.count("*").alias("rows"))
     salts = common.materialize(size.select("p", "rows", F.expr(f"rows div {SALT_ROWS} + 1").cast("int").alias("salts")))
     data = own.select("x", "n", "rare")
-    members = common.met(pairs, salts, ["p"], n_pairs).select("p", F.pmod(F.xxhash64("x"), F.col("salts")).cast("int").alias("salt"), "x").join(data, "x")
+    members = common.met(pairs, salts, ["p"], n_postings).select("p", F.pmod(F.xxhash64("x"), F.col("salts")).cast("int").alias("salt"), "x").join(data, "x")
     pivots = salts.select("p", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("p").alias("x")).join(data, "x")
     columns = ("p", "salt", "x", "n", "rare")
     parts = common.partitions_for(spark, 0)
@@ -511,11 +511,11 @@ def links_of(sets: DataFrame) -> DataFrame:
     inner = near.where("inner").select(F.col("p").alias("u"), F.col("x").alias("v"))
     # what a region has left: outer sets, and the inner ones that the triangle inequality leaves as partners
     least = near.groupBy("p").agg(F.min(F.when(~F.col("inner"), F.col("d"))).alias("least"), F.count("*").alias("rows")).where("least is not null")
-    rest = common.met(near, least, ["p"], n_pairs).where((~F.col("inner")) | (F.col("d") >= F.col("least") - r - 1e-12))
+    rest = common.met(near, least, ["p"], n_postings).where((~F.col("inner")) | (F.col("d") >= F.col("least") - r - 1e-12))
     rest = common.materialize(rest.select("p", "x", (~F.col("inner")).alias("outer")))
     tall = rest.groupBy("p").agg(F.count("*").alias("rows")).where("rows > 1")
     tall = tall.select("p", "rows", F.expr(f"rows div {REST_ROWS} + 1").cast("int").alias("blocks"))
-    placed = common.met(rest, tall, ["p"], n_pairs).withColumn("b", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
+    placed = common.met(rest, tall, ["p"], n_postings).withColumn("b", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
     # block pairs (i, j), i <= j: every two members meet in one task
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("b", k).alias("bi"), F.greatest("b", k).alias("bj")))
     placed = placed.select("p", "x", "outer", F.inline(others)).join(data, "x")
@@ -543,7 +543,7 @@ def join(docs: DataFrame) -> DataFrame:
     found = named.join(parts, named.rep == parts.node, "left").select(*digest, F.coalesce("component_id", "rep").alias("component_id"), "rows")
     found = common.materialize(found)
     total = sets.count()
-    common.discard(links, named, several)
+    common.discard(links, named, several, parts)
     mine = common.met(full, found, digest, total).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     ids = F.when(F.col("doc_id") != common.NULL_ID, F.col("doc_id"))
     others = sets.where(~real).select(ids.alias("doc_id"), F.col("n").alias("n_shingles"), ids.alias("component_id"))

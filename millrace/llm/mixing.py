@@ -158,10 +158,11 @@ def mix(
     )
     parts = parts.withColumn("start", F.greatest(F.lit(0), F.col("index") * w - F.col("row_key")))
     parts = parts.withColumn("words", F.least("size", (F.col("index") + 1) * w - F.col("row_key")) - F.col("start"))
-    taken_slots = _slots(spark, slots, np.array(blocks, np.int64), shard_slots, seed)
+    taken_slots, drawn = _slots(spark, slots, np.array(blocks, np.int64), shard_slots, seed)
     pieces = common.materialize(
         parts.join(taken_slots.hint("merge"), ["k", "index"]).select("shard", "k", "slot", "pass", "doc_id", "a", "b", "row_key", "start", "words")
     )
+    common.discard(drawn)
     taken = pieces.groupBy("k", "row_key").agg(F.sum("words").alias("taken"))
     whole = placed.join(taken.withColumn("some", F.lit(True)), ["k", "row_key"], "left")
     out = whole.select(
@@ -171,8 +172,8 @@ def mix(
     return out, pieces
 
 
-def _slots(spark, slots: np.ndarray, blocks: np.ndarray, shard_slots: int, seed: int) -> DataFrame:
-    """shard, k, slot, pass and index (of the block) of every slot of the mix."""
+def _slots(spark, slots: np.ndarray, blocks: np.ndarray, shard_slots: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """shard, k, slot, pass and index (of the block) of every slot of the mix, and a table to discard once they are used."""
     total = int(slots.sum())
     share = (slots / max(1, total)).tolist()
     n_shards = -(-total // shard_slots)
@@ -207,7 +208,7 @@ def _slots(spark, slots: np.ndarray, blocks: np.ndarray, shard_slots: int, seed:
                     "index": permute(slot - rep * blocks[s], np.full(n, blocks[s]), key),
                 })
 
-    return runs.mapInPandas(fill, "shard long, k int, slot long, pass int, index long")
+    return runs.mapInPandas(fill, "shard long, k int, slot long, pass int, index long"), drawn
 
 
 def mixed_documents(docs: DataFrame, pieces: DataFrame, length_column: str | None = None) -> DataFrame:
