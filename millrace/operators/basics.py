@@ -146,6 +146,8 @@ def mem_table(spark, d):
 
 def _csv(spark, d, schema, columns: str, source: str):
     """A table written as CSV part files in a shared folder, and read again."""
+    import atexit
+    import shutil
     import tempfile
     import uuid
 
@@ -155,7 +157,9 @@ def _csv(spark, d, schema, columns: str, source: str):
     if not base:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.gettempdir()
+        folder = tempfile.mkdtemp(prefix="millrace-csv-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        base = "file://" + folder
     path = f"{base.rstrip('/')}/millrace-csv-{uuid.uuid4().hex}"
     table(spark, d, source).selectExpr(*columns.split(", ")).write.option("header", True).csv(path)
     return read_csv(spark, path, schema)
