@@ -77,7 +77,12 @@ text("tpch_q01", f"""SELECT l_returnflag, l_linestatus, CAST(SUM({M('l_quantity'
 text("tpch_q02", f"""SELECT s_acctbal, s_name, n_name, p_partkey FROM {{part}}, {{supplier}}, {PS} ps, {{nation}}, {{region}}
     WHERE p_partkey = ps_partkey AND s_suppkey = ps_suppkey AND p_size = 15 AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_name = 'EUROPE'
     AND ps_supplycost = (SELECT MIN(q.ps_supplycost) FROM {PS} q, {{supplier}}, {{nation}}, {{region}} WHERE p_partkey = q.ps_partkey AND s_suppkey = q.ps_suppkey AND s_nationkey = n_nationkey
-    AND n_regionkey = r_regionkey AND r_name = 'EUROPE') ORDER BY s_acctbal DESC, n_name, s_name, p_partkey LIMIT 100""")
+    AND n_regionkey = r_regionkey AND r_name = 'EUROPE') ORDER BY s_acctbal DESC, n_name, s_name, p_partkey LIMIT 100""",
+    own=f"""WITH ps AS (SELECT p_partkey, s_suppkey, s_acctbal, s_name, n_name, MIN({M('l_extendedprice')}) AS cost FROM {{lineitem}}, {{part}}, {{supplier}}, {{nation}}, {{region}}
+    WHERE l_partkey = p_partkey AND l_suppkey = s_suppkey AND p_size = 15 AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_name = 'EUROPE'
+    GROUP BY p_partkey, s_suppkey, s_acctbal, s_name, n_name)
+    SELECT s_acctbal, s_name, n_name, p_partkey FROM (SELECT *, MIN(cost) OVER (PARTITION BY p_partkey) AS least FROM ps) t WHERE cost = least
+    ORDER BY s_acctbal DESC, n_name, s_name, p_partkey LIMIT 100""")
 text("tpch_q03", f"""SELECT l_orderkey, ROUND(CAST(SUM({NET}) AS DOUBLE), 2) AS revenue, CAST(o_orderdate AS DATE) AS o_orderdate FROM {{customer}}, {{orders}}, {{lineitem}}
     WHERE c_mktsegment = 'BUILDING' AND c_custkey = o_custkey AND l_orderkey = o_orderkey AND o_orderdate < DATE '1995-03-15' AND l_shipdate > DATE '1995-03-15'
     GROUP BY l_orderkey, o_orderdate ORDER BY revenue DESC, o_orderdate, l_orderkey LIMIT 10""")
@@ -96,8 +101,13 @@ text("tpch_q08", f"""SELECT o_year, ROUND(CAST(SUM(CASE WHEN nation = 'NATION_2'
     SELECT CAST(year(o_orderdate) AS INTEGER) AS o_year, {NET} AS volume, n2.n_name AS nation FROM {{part}}, {{supplier}}, {{lineitem}}, {{orders}}, {{customer}}, {{nation}} n1, {{nation}} n2, {{region}}
     WHERE p_partkey = l_partkey AND s_suppkey = l_suppkey AND l_orderkey = o_orderkey AND o_custkey = c_custkey AND c_nationkey = n1.n_nationkey AND n1.n_regionkey = r_regionkey
     AND r_name = 'AMERICA' AND s_nationkey = n2.n_nationkey AND p_type = 'STANDARD') all_nations GROUP BY o_year ORDER BY o_year""")
+# the parts are few: their lines are aggregated, not all
+RED = PS.replace("GROUP BY", "WHERE l_partkey IN (SELECT p_partkey FROM {part} WHERE p_name LIKE '%red%') GROUP BY")
 text("tpch_q09", f"""SELECT nation, o_year, ROUND(CAST(SUM(amount) AS DOUBLE), 2) AS sum_profit FROM (SELECT n_name AS nation, CAST(year(o_orderdate) AS INTEGER) AS o_year,
     {NET} - CAST(ps_supplycost * 0.1 AS DECIMAL(18,4)) AS amount FROM {{part}}, {{supplier}}, {{lineitem}}, {PS} ps, {{orders}}, {{nation}} WHERE s_suppkey = l_suppkey AND ps_suppkey = l_suppkey
+    AND ps_partkey = l_partkey AND p_partkey = l_partkey AND o_orderkey = l_orderkey AND s_nationkey = n_nationkey AND p_name LIKE '%red%') profit GROUP BY nation, o_year ORDER BY nation, o_year DESC""",
+    own=f"""SELECT nation, o_year, ROUND(CAST(SUM(amount) AS DOUBLE), 2) AS sum_profit FROM (SELECT n_name AS nation, CAST(year(o_orderdate) AS INTEGER) AS o_year,
+    {NET} - CAST(ps_supplycost * 0.1 AS DECIMAL(18,4)) AS amount FROM {{part}}, {{supplier}}, {{lineitem}}, {RED} ps, {{orders}}, {{nation}} WHERE s_suppkey = l_suppkey AND ps_suppkey = l_suppkey
     AND ps_partkey = l_partkey AND p_partkey = l_partkey AND o_orderkey = l_orderkey AND s_nationkey = n_nationkey AND p_name LIKE '%red%') profit GROUP BY nation, o_year ORDER BY nation, o_year DESC""")
 text("tpch_q10", f"""SELECT c_custkey, c_name, ROUND(CAST(SUM({NET}) AS DOUBLE), 2) AS revenue, c_acctbal, n_name FROM {{customer}}, {{orders}}, {{lineitem}}, {{nation}}
     WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND o_orderdate >= DATE '1995-10-01' AND o_orderdate < DATE '1996-01-01' AND l_returnflag = 'R' AND c_nationkey = n_nationkey
