@@ -7,6 +7,7 @@ import uuid
 from ..registry import query
 from ..sources.tables import table
 from .statements import analyze, explain, run
+from .statistics import profile
 
 
 @query("explain_plan")
@@ -51,3 +52,16 @@ def create_insert_drop(spark, d):
     out = spark.createDataFrame(rows.collect(), rows.schema)
     run(spark, f"DROP TABLE {name}")
     return out
+
+
+_LINE_COLUMNS = ('l_orderkey', 'l_partkey', 'l_suppkey', 'l_linenumber', 'l_quantity', 'l_extendedprice', 'l_discount', 'l_tax', 'l_returnflag', 'l_linestatus', 'l_shipdate')
+
+
+@query("profile_table", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, COUNT(*) AS n_rows, COUNT(DISTINCT {c}) AS n_distinct, COUNT(*) - COUNT({c}) AS n_null FROM lineitem" for c in _LINE_COLUMNS
+))
+def profile_table(spark, d):
+    """Statistics of all columns, in one aggregation."""
+    stats = profile(table(spark, d, "lineitem"))
+    rows = [(c, stats.rows, s.distinct, s.nulls) for c, s in stats.columns.items()]
+    return spark.createDataFrame(rows, "column_name string, n_rows long, n_distinct long, n_null long")

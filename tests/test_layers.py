@@ -171,3 +171,9 @@ def test_asof_join(spark):
     right = spark.createDataFrame([("a", 2, 20), ("a", 5, 50), ("b", 6, 60), ("a", 3, None), (None, 1, 7)], "k string, t int, w int")
     got = sorted((r.k or "", r.t, r.v, r.w) for r in asof_join(left, right, ["k"], "t", ["w"]).collect())
     assert got == [("", 5, "n", None), ("a", 1, "x", None), ("a", 5, "y", 50), ("a", 5, "y", 50), ("b", 5, "z", None)]
+
+
+def test_settings_and_current_database(spark):
+    assert statements.run(spark, "SET spark.millrace.probe = 1; USE default; SELECT current_database() AS d").first().d == "default"
+    assert statements.run(spark, "SET spark.millrace.probe").first().value == "1"
+    assert statements.run(spark, "SHOW DATABASES").where("namespace = 'default'").count() == 1
