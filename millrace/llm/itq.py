@@ -275,7 +275,8 @@ def links_of(classes: DataFrame, n: int, dimensions: int, threshold: float = THR
     common.discard(chosen)
     bits, tables, near = shape(n, dimensions, threshold, spread=spread_of(x))
     codes = Codes(x, bits, tables)
-    lead = max(1, min(bits - 1, math.ceil(math.log2(max(2, 4 * n / CELL_ROWS)))))
+    # a vector is in a cell of its own and, for each leading bit, in one beside it
+    lead = next((k for k in range(1, bits - 1) if n * (1 + k) / 2**k <= CELL_ROWS), bits - 1)
     parts = min(max(MAX_PARTS, common.partitions_for(classes.sparkSession, 0)), max(common.partitions_for(classes.sparkSession, 0), tables << lead))
     placed = common.materialize(classes.select("id", "vector").mapInArrow(_placed(codes, lead), "to long, id long, code binary"))
     # cells with more than a bounded share of all rows are told apart beforehand: at most 100 000 of them

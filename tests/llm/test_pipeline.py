@@ -75,8 +75,21 @@ def test_packing_stage(stages):
 def test_edges(spark, small):
     rows = [(1, None), (2, ""), (3, "a b c"), (3, "a b c"), (None, "x y z"), (None, "u v w"), (4, "hot " * 3000)]
     docs = spark.createDataFrame([(i, t, None, None, None, 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, gone int")
-    for _, stage in corpus_pipeline.STAGES:
-        stage(spark, docs, small).collect()
-        stage(spark, docs.where(F.lit(False)), small).collect()
+    stages = dict(corpus_pipeline.STAGES)
+    for stage in stages.values():
+        assert stage(spark, docs.where(F.lit(False)), small).count() == 0
+    out = {name: stage(spark, docs, small).collect() for name, stage in stages.items()}
+    pairs = lambda rows: sorted((r.doc_id or 0, r.text or "") for r in rows)
+    known = sorted((i or 0, t or "") for i, t in rows)
+    # equal rows are judged alike
+    judged = pairs(out["quality classifier"])
+    assert set(judged) <= set(known) and judged.count((3, "a b c")) in (0, 2)
+    assert pairs(out["line dedup"]) == known
+    assert pairs(out["n-gram Jaccard join"]) == sorted(set(known))
+    # all words of the mix: one source, so each is taken once
+    assert sum(len(t.split()) for _, t in pairs(out["mixing sources"])) == sum(len(t.split()) for _, t in known)
+    assert len([r for r in out["mixing sources"] if r.doc_id is None]) == 2 and all(r.gone == 1 for r in out["mixing sources"])
+    pieces = out["packing"]
+    assert {r.doc_id for r in pieces} == {None, 1, 2, 3, 4} and sum(r.length for r in pieces if r.doc_id in (1, 2)) == 2
     same = corpus_pipeline.one_of_each_group(spark, docs, small)
     assert same.where("doc_id = 3").count() == 1 and same.where("doc_id IS NULL").count() == 2
