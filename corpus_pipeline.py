@@ -7,9 +7,10 @@ as Parquet and read again as the next stage's docs.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from millrace.llm import jaccard, lines, mixing, packing, quality
-from millrace.llm.common import discard, materialize, read
+from millrace.llm.common import discard, identified, materialize, read
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,18 +26,24 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near copies; documents without words are no copies and stay."""
-    groups = jaccard.join(docs)
-    kept = groups.where("component_id IS NULL OR doc_id = component_id").select("doc_id").distinct()
-    out = docs.join(kept.hint("merge"), docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
-    if not _ids_repeat(docs):
-        return out
-    # rows that share an id are one document of the group
-    return out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(out.where("doc_id IS NULL"))
-
-
-def _ids_repeat(docs: DataFrame) -> bool:
-    return bool(docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").limit(1).count())
+    """One document of each group of near copies, that of least id; documents without words are no copies and stay.
+
+    Rows that share an id but not the text are documents of their own, in the order of a hash; of equal ones one stays.
+    Rows of a null id stay.
+    """
+    rows = identified(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")))
+    own = F.when((F.col("ta") == 0) & (F.col("tb") == 0), F.col("id")).otherwise(F.xxhash64("id", "ta", "tb"))
+    rows = rows.select(F.when(F.col("doc_id").isNotNull(), own).alias("key"), "text", "row")
+    groups = jaccard.join(rows.select(F.col("key").alias("doc_id"), "text"))
+    kept = groups.where("component_id IS NULL OR doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
+    out = rows.join(kept.hint("merge"), F.col("key").eqNullSafe(F.col("kept")), "left_semi")
+    if _repeat(rows):
+        out = out.where("key IS NOT NULL").dropDuplicates(["key"]).union(out.where("key IS NULL"))
+    return out.select("row.*")
+
+
+def _repeat(rows: DataFrame) -> bool:
+    return bool(rows.groupBy("key").count().where("count > 1 AND key IS NOT NULL").limit(1).count())
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
