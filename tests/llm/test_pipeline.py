@@ -93,3 +93,14 @@ def test_edges(spark, small):
     assert {r.doc_id for r in pieces} == {None, 1, 2, 3, 4} and sum(r.length for r in pieces if r.doc_id in (1, 2)) == 2
     same = corpus_pipeline.one_of_each_group(spark, docs, small)
     assert same.where("doc_id = 3").count() == 1 and same.where("doc_id IS NULL").count() == 2
+
+
+def test_group_stage_keeps_other_texts_of_an_id(spark, small):
+    """A text goes only with a group of its own copies, not because its row shares an id with one."""
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    rows = [(1, a, 7), (2, a + " more", 8), (2, b, 9), (2, b, 9), (3, b, 9), (4, "alone", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id int")
+    kept = corpus_pipeline.one_of_each_group(spark, docs, small)
+    assert kept.columns == ["doc_id", "text", "id"]
+    got = [(r.doc_id, r.text, r.id) for r in kept.collect()]
+    assert sorted(t for _, t, _ in got if t == "alone" or t == b) == ["alone", b] and len([t for _, t, _ in got if t.startswith(a)]) == 1 and len(got) == 3
