@@ -47,7 +47,7 @@ for _c, _mark in enumerate(b" \n.,!?;:'\"|*#$%&@()[]{}<>/\\+-=_~^`", 6):
     _CLASS[_mark] = _c
 N_CLASSES = int(_CLASS.max()) + 1
 _REPEATS = 24
-N_WORDS = 256  # hashed words
+N_WORDS = 64  # hashed words
 WORD_WEIGHT = 0.25
 N_TERMS = N_WORDS + N_CLASSES * N_CLASSES + 2 * _REPEATS
 
@@ -98,6 +98,15 @@ def terms(texts) -> np.ndarray:
     return np.sqrt(out, out=out)
 
 
+def leading_axes(gram: np.ndarray, k: int, rounds: int = 40) -> np.ndarray:
+    """The k leading eigenvectors of a symmetric matrix by subspace iteration, which needs little more room than the matrix."""
+    q = np.random.default_rng(2).standard_normal((len(gram), min(len(gram), k + 16)))
+    for _ in range(rounds):
+        q, _ = np.linalg.qr(gram @ q)
+    _, turn = np.linalg.eigh(q.T @ gram @ q)
+    return q @ turn[:, ::-1][:, :k]
+
+
 class Model:
     """What is broadcast: a projection, unit vectors of the sample and their labels."""
 
@@ -105,8 +114,7 @@ class Model:
         used = (x > 0).sum(0)
         self.idf = np.log((1 + len(x)) / (1 + used)).astype(np.float32) + np.float32(0.1)
         x = x * self.idf
-        _, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))
-        self.project = np.ascontiguousarray(vectors[:, ::-1][:, :dimensions]).astype(np.float32)
+        self.project = leading_axes((x.T @ x).astype(np.float64), dimensions).astype(np.float32)
         self.vectors, self.labels, self.k = self.embed(x, False), labels.astype(np.float32), min(neighbours, len(labels))
         self.prior = float(labels.mean())
 
@@ -152,8 +160,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     got = found.select("doc_id", "t.quality", "t.x").toPandas().sort_values("doc_id")
     if not len(got):
         return None
-    x = np.frombuffer(b"".join(got.x), np.float16).reshape(-1, N_TERMS).astype(np.float32)
-    return Model(x, got.quality.to_numpy())
+    labels, x = got.quality.to_numpy(), np.empty((len(got), N_TERMS), np.float32)
+    for row, terms_ in zip(x, got.x):
+        row[:] = np.frombuffer(terms_, np.float16)
+    del got
+    return Model(x, labels)
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
