@@ -173,7 +173,7 @@ _KNOWN_POWERS: dict[int, np.ndarray] = {}
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    """The first n powers modulo 2**64; those of a batch's size are kept for the next one."""
+    """The first n powers modulo 2**64; those of a small batch are kept for the next one."""
     known = _KNOWN_POWERS.get(base)
     if known is not None and len(known) >= n:
         return known[:n]
@@ -185,7 +185,7 @@ def _powers(base: int, n: int) -> np.ndarray:
         out[filled : filled + take] = out[:take] * np.uint64(step)
         filled += take
         step = step * step % (1 << 64)
-    if n <= 4 << 20:
+    if n <= 1 << 19:  # 4 MB
         _KNOWN_POWERS[base] = out
     return out
 
@@ -211,7 +211,7 @@ def column_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def small(batches, column: str = "text", most: int = 2 << 20):
+def small(batches, column: str = "text", most: int = 1 << 20):
     """Batches cut so that a text column has about ``most`` bytes in each, or one row."""
     import pyarrow.compute as pc
 

@@ -45,7 +45,7 @@ BUCKET_BYTES = 8 << 20
 CHUNK_SHINGLES = 2 << 20
 MAX_PARTS = 1 << 15  # of a shuffle; beyond that a task has several buckets, one after the other
 SALT_ROWS = 1000
-REST_ROWS = 250
+REST_ROWS = 200
 LEAF = 64
 
 
@@ -518,8 +518,10 @@ def links_of(sets: DataFrame) -> DataFrame:
     placed = common.met(rest, tall, ["p"], n_postings).withColumn("b", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
     # block pairs (i, j), i <= j: every two members meet in one task
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("b", k).alias("bi"), F.greatest("b", k).alias("bj")))
-    placed = placed.select("p", "x", "outer", F.inline(others)).join(data, "x")
-    placed = placed.repartition(parts, "p", "bi", "bj").sortWithinPartitions("p", "bi", "bj", "x")
+    placed = placed.select("p", "x", "outer", "blocks", F.inline(others)).join(data, "x")
+    # the block pairs of a region go to one task after another, where a hash would put some together
+    to = F.pmod(F.xxhash64("p") + F.col("bi") * F.col("blocks") + F.col("bj"), F.lit(parts)).cast("int")
+    placed = placed.repartitionById(parts, to).sortWithinPartitions("p", "bi", "bj", "x")
     found = placed.select("p", "bi", "bj", "x", "n", "rare", "outer").mapInArrow(_rest, "u binary, v binary")
     links = common.materialize(inner.union(found).select(_rep("u").alias("u"), _rep("v").alias("v")).distinct())
     common.discard(own, pairs, salts, near, rest)

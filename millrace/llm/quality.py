@@ -40,7 +40,7 @@ BLOCK = 2048
 WINDOW = 400
 
 # byte classes: single classes for marks, a few for letters
-_CLASS = np.zeros(256, np.int64)
+_CLASS = np.zeros(256, np.int16)
 for _lo, _hi, _c in ((65, 91, 1), (97, 123, 2), (48, 58, 3), (128, 256, 4), (0, 32, 5)):
     _CLASS[_lo:_hi] = _c
 for _c, _mark in enumerate(b" \n.,!?;:'\"|*#$%&@()[]{}<>/\\+-=_~^`", 6):
